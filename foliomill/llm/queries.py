@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import confusables, leakage, packing, splitting
+from foliomill.llm import confusables, encoding, leakage, packing, splitting
 from foliomill.sources.tables import table
 
 
@@ -24,6 +24,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).select("seg_id").distinct()
 
 
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repair_segments(table(spark, d, "segments"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_repaired(spark, d).select("seg_id").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return confusables.look_alike_pairs(table(spark, d, "segments"))
 
@@ -40,7 +48,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_runs(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_requests, p1_fill, p3_pieces, p3_found, p6_found, p6_groups, p7_runs, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_requests, p1_fill, p3_pieces, p3_found, p4_repaired, p4_found, p6_found, p6_groups, p7_runs, p7_found)}
 
 _LIMITS = "(select b.book_id, coalesce(r.segment_chars, 6000) as lim from books b left join run_config r on b.profile = r.profile)"
 
