@@ -250,13 +250,15 @@ class Repairer:
 
     def repair(self, text: str) -> tuple[str, str] | None:
         """(repaired text, mappings) of an affected text, None of others."""
-        used: list[str] = ["lost"] * ("\ufffd" in text)
+        original, used = text, ["lost"] * ("\ufffd" in text)
         for _ in range(4):
             got = self._once(text)
             if got is None:
                 break
             text = got[0]
             used.append(got[1])
+        if text == original and used[:1] != ["lost"]:  # mappings that undo each other
+            return None
         return (text, ",".join(dict.fromkeys(used))) if used else None
 
     def candidates(self, texts: list[str]) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import confusables, encoding, leakage, packing, splitting
+from foliomill.llm import confusables, encoding, leakage, packing, pairs, splitting
 from foliomill.sources.tables import table
 
 
@@ -32,6 +32,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_repaired(spark, d).select("seg_id").distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, d, "segments"), table(spark, d, "segment_cache"), table(spark, d, "books"))
+
+
+def p5_reported(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.reported_defects(p5_found(spark, d), table(spark, d, "segments"), table(spark, d, "segment_cache"), table(spark, d, "run_stats"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return confusables.look_alike_pairs(table(spark, d, "segments"))
 
@@ -48,7 +56,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_runs(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_requests, p1_fill, p3_pieces, p3_found, p4_repaired, p4_found, p6_found, p6_groups, p7_runs, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_requests, p1_fill, p3_pieces, p3_found, p4_repaired, p4_found, p5_found, p5_reported, p6_found, p6_groups, p7_runs, p7_found)}
 
 _LIMITS = "(select b.book_id, coalesce(r.segment_chars, 6000) as lim from books b left join run_config r on b.profile = r.profile)"
 
