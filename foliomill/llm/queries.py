@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import confusables, encoding, leakage, packing, pairs, splitting
+from foliomill.llm import confusables, encoding, leakage, packing, pairs, scannoise, splitting
 from foliomill.sources.tables import table
 
 
@@ -16,6 +16,14 @@ def p1_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.request_fill(p1_requests(spark, d))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scannoise.scan_noise(table(spark, d, "segments"), table(spark, d, "books"), table(spark, d, "cleanup_log"))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scannoise.repaired_text(table(spark, d, "segments"), table(spark, d, "books"), table(spark, d, "cleanup_log"))
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_segments(table(spark, d, "segments"), table(spark, d, "books"), table(spark, d, "run_config"))
 
@@ -56,7 +64,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_runs(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_requests, p1_fill, p3_pieces, p3_found, p4_repaired, p4_found, p5_found, p5_reported, p6_found, p6_groups, p7_runs, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_requests, p1_fill, p2_found, p2_repaired, p3_pieces, p3_found, p4_repaired, p4_found, p5_found, p5_reported, p6_found, p6_groups, p7_runs, p7_found)}
 
 _LIMITS = "(select b.book_id, coalesce(r.segment_chars, 6000) as lim from books b left join run_config r on b.profile = r.profile)"
 
