@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import confusables, encoding, leakage, packing, pairs, scannoise, splitting
+from foliomill.llm import confusables, encoding, leakage, mixing, packing, pairs, scannoise, spans, splitting
 from foliomill.sources.tables import table
 
 
@@ -64,7 +64,27 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_runs(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_requests, p1_fill, p2_found, p2_repaired, p3_pieces, p3_found, p4_repaired, p4_found, p5_found, p5_reported, p6_found, p6_groups, p7_runs, p7_found)}
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.document_pairs(table(spark, d, "documents"))
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+def p9_amounts(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_amounts(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_requests, p1_fill, p2_found, p2_repaired, p3_pieces, p3_found, p4_repaired, p4_found, p5_found, p5_reported, p6_found, p6_groups, p7_runs, p7_found, p8_mix, p8_shares, p9_found, p9_spans, p9_amounts)}
 
 _LIMITS = "(select b.book_id, coalesce(r.segment_chars, 6000) as lim from books b left join run_config r on b.profile = r.profile)"
 
