@@ -19,13 +19,13 @@ INVISIBLE = r"[\x{AD}\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}\x00-\x08\x0B\x0C\x
 # Words a hyphen may hang before.
 HANGING = "and|or|to|nor|y|o|e|u|et|ou|und|oder"
 # Page numbers, alone on a line.
-PAGE_DIGITS = r"(?i)^(?:[-–—\[(|]\s*)?(?:(?:page|p[aá]gina|p[aá]g|p)\.?\s*)?[0-9]{1,4}(?:\s*(?:of|de|/)\s*[0-9]{1,4})?(?:\s*[-–—\])|])?$"
+PAGE_DIGITS = r"(?i)^(?:[-–—\[(|]\s*)?(?:(?:page|p[aáÁ]gina|p[aáÁ]g|p)\.?\s*)?[0-9]{1,4}(?:\s*(?:of|de|/)\s*[0-9]{1,4})?(?:\s*[-–—\])|])?$"
 PAGE_ROMAN = r"(?i)^c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$"
 # Sites whose address is removed wherever it stands, and notes that fill a line.
 SITES = r"(?i)[ ]?(?:https?://)?(?:www\.)?[A-Za-z0-9_.-]*(?:oceanofpdf|z-?library|z-lib|libgen|b-ok|dokumen|pdfdrive|epubpub|ebook3000)\.(?:com|org|net|pub|lib|sk|se|is|rs|li|to|io)[A-Za-z0-9_./-]*"
 NOTES = r"(?i)scanned (?:and|&(?:amp;)?) proofed|scanned by|\bocr(?:'d| by)|proofed by|converted by|uploaded by|created (?:with|by) .{0,30}(?:pdf|converter)|get (?:more|free) e-?books|(?:this )?page (?:is )?intentionally (?:left )?blank|downloaded from|visit .{0,30}for more (?:free )?e-?books"
 FOOTNOTE = r"^(?:[0-9]{1,2}|\*{1,3}|†|‡)\s+[A-Z]"
-NUMBER = r"\b[0-9]{1,4}\b"
+NUMBER = r"(?<![\p{L}\p{N}_])[0-9]{1,4}(?![\p{L}\p{N}_])"
 
 
 def _folding() -> tuple[str, str]:
