@@ -93,6 +93,8 @@ def ligatures_split(text: Column) -> Column:
     return text
 
 
+#: The part of SITES every address has; cheap to look for.
+_SITE_NAME = r"(?i)(?:oceanofpdf|library|z-lib|libgen|b-ok|dokumen|pdfdrive|epubpub|ebook3000)\."
 _CAP = "[A-ZÁÉÍÓÚÑ]"
 _WORD_EDGE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 # A gap between single capitals is closed if four of them are in a row around it.
@@ -107,7 +109,8 @@ def letters_closed(text: Column) -> Column:
 def characters_fixed(text: Column) -> Column:
     """Ligatures, invisible characters, site addresses, spaced capitals, broken hyphens, stray blanks: in this order."""
     text = F.regexp_replace(ligatures_split(text), INVISIBLE, "")
-    text = letters_closed(F.regexp_replace(text, SITES, ""))
+    text = F.when(text.rlike(_SITE_NAME), F.regexp_replace(text, SITES, "")).otherwise(text)
+    text = F.when(text.rlike(" ".join([_CAP] * 4)), letters_closed(text)).otherwise(text)
     text = F.regexp_replace(text, rf"(?<=[a-záéíóúñü])- (?!(?:{HANGING})\b)(?=[a-záéíóúñü])", "")
     return F.regexp_replace(text, r"(?<=[\p{L}\p{N}_”’\"])[ ]+(?![.] [.])(?=[,.;!?](?:[ \t\n]|$|<))", "")
 
