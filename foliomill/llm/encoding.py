@@ -215,7 +215,10 @@ class Repairer:
                 best, out[-1][1] = total, i + 2
         wider: list[tuple[int, int]] = []
         for a, b in out:
-            while a and text[a - 1] not in " \n\t":
+            done = wider[-1][1] if wider else 0
+            if b <= done:
+                continue
+            while a > done and text[a - 1] not in " \n\t":
                 a -= 1
             while b < len(text) and text[b] not in " \n\t":
                 b += 1

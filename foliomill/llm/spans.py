@@ -38,6 +38,8 @@ from foliomill.plans.runtime import materialize, small
 
 #: Characters a shared span has at least; characters of a hashed gram; characters of an index shard.
 SPAN, GRAM, SHARD_CHARS = 320, 240, 1_500_000
+#: Characters of a piece of a very long text.
+PIECE = 1 << 20
 #: Streamed characters one copy of a shard serves.
 STREAM_CHARS = 8_000_000
 
@@ -197,6 +199,9 @@ def _print_rows(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            # a very long text goes in overlapping pieces: each window of a span lies in one of them
+            cuts = [(i, c) for i, t in enumerate(texts) for c in range(0, max(1, len(t) - span + 1), PIECE)]
+            keys, texts = keys[[i for i, _ in cuts]], [texts[i][c : c + PIECE + span - 1] for i, c in cuts]
             for a, b in chunks([len(t) for t in texts]):
                 codes = code_points(joined(texts[a:b]))
                 row = np.cumsum(codes == ord(SEP))

@@ -32,7 +32,7 @@ _TOKEN = r"</?x\d+\s*/?>"
 _LEVELS = [
     ("section", re.compile(r"\n[ \t]*\n\s*|(?=\n#{1,6} )")),
     ("line", re.compile(rf"\n+|(?:<x\d+\s*/>\s*){{2,}}|(?=\n\s*(?:[-*•]|\d+[.)])\s)")),
-    ("sentence", re.compile(rf"[.!?…]+[\"'”’»)\]]*(?:{_TOKEN})*\s+")),
+    ("sentence", re.compile(rf"(?<![.!?…])[.!?…]++[\"'”’»)\]]*+(?:{_TOKEN})*+\s+")),
     ("clause", re.compile(r"[,;:—–][\"'”’»)\]]*\s+")),
     ("word", re.compile(rf"\s+|{_TOKEN}")),
 ]
