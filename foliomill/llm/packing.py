@@ -92,7 +92,8 @@ def _block(rows: list[tuple[int, int]], cap: int, windows: int, level: int, top:
                 fills[b] = fills.get(b, 0) + n
         to = merge(fills, cap)
         bins, still = [to.get(b, b) for b in bins], set()
-    number = {b: i for i, b in enumerate(dict.fromkeys(bins))}
+    order = dict.fromkeys(bins)  # requests sent off are numbered first, so that their numbers have no gaps
+    number = {b: i for i, b in enumerate([*(b for b in order if b not in still), *(b for b in order if b in still)])}
     return [(number[b], b in still, item, part, n) for b, (item, part, n) in zip(bins, items)]
 
 
@@ -164,8 +165,9 @@ def pack_requests(segments: DataFrame, books: DataFrame, run_config: DataFrame,
         up = final.filter(F.col("level") > below)
         own = links[below].withColumn("item_up", F.col("block") * 1000 + F.col("bin"))
         to = up.filter(F.col("level") == below + 1) if below + 1 == level else up
-        to = to.select("book_id", "doc_no", F.col("item").alias("item_up"), F.col("level").alias("l2"), F.col("block").alias("b2"), F.col("bin").alias("n2"))
-        moved = own.join(to, ["book_id", "doc_no", "item_up"]).select("book_id", "doc_no", F.col("l2").alias("level"), F.col("b2").alias("block"), F.col("n2").alias("bin"), F.lit(False).alias("is_open"), "item", "part", "size", "cap")
+        to = to.select(F.col("book_id").alias("k2"), F.col("doc_no").alias("d2"), F.col("item").alias("i2"), F.col("level").alias("l2"), F.col("block").alias("b2"), F.col("bin").alias("n2"))
+        same = F.col("book_id").eqNullSafe(F.col("k2")) & F.col("doc_no").eqNullSafe(F.col("d2")) & (F.col("item_up") == F.col("i2"))
+        moved = own.join(to, same).select("book_id", "doc_no", F.col("l2").alias("level"), F.col("b2").alias("block"), F.col("n2").alias("bin"), F.lit(False).alias("is_open"), "item", "part", "size", "cap")
         final = done[below].unionByName(moved)
     return _numbered(final)
 
@@ -174,9 +176,10 @@ def _numbered(placed: DataFrame) -> DataFrame:
     """Counts requests through a document by a running sum over its blocks, not over its rows."""
     counts = placed.groupBy("book_id", "doc_no", "level", "block").agg((F.max("bin") + 1).cast("long").alias("bins"))
     before = Window.partitionBy("book_id", "doc_no").orderBy("level", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("base", F.coalesce(F.sum("bins").over(before), F.lit(0))).drop("bins")
-    out = placed.join(offsets, [placed.book_id.eqNullSafe(offsets.book_id), placed.doc_no.eqNullSafe(offsets.doc_no), placed.level == offsets.level, placed.block == offsets.block])
-    return out.select(placed.book_id, placed.doc_no, (F.col("base") + F.col("bin") + 1).alias("request_no"), F.col("item").alias("seg_id"), F.col("part").alias("part_no"), F.col("size").alias("n_chars"), F.col("cap").alias("max_chars"))
+    offsets = counts.select(F.col("book_id").alias("k2"), F.col("doc_no").alias("d2"), F.col("level").alias("l2"), F.col("block").alias("b2"), F.coalesce(F.sum("bins").over(before), F.lit(0)).alias("base"))
+    same = F.col("book_id").eqNullSafe(F.col("k2")) & F.col("doc_no").eqNullSafe(F.col("d2")) & (F.col("level") == F.col("l2")) & (F.col("block") == F.col("b2"))
+    out = placed.join(offsets, same)
+    return out.select("book_id", "doc_no", (F.col("base") + F.col("bin") + 1).alias("request_no"), F.col("item").alias("seg_id"), F.col("part").alias("part_no"), F.col("size").alias("n_chars"), F.col("cap").alias("max_chars"))
 
 
 def request_fill(placed: DataFrame) -> DataFrame:
