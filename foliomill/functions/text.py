@@ -6,6 +6,7 @@ Placeholders are ``<xN>``, ``</xN>`` and ``<xN/>``; blanks are the ASCII ones.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +42,11 @@ def _folding() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _folding()
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def ascii_fold(text: Column) -> Column:
     """Accents off, what is not ASCII dropped, lower case."""
     return F.lower(F.regexp_replace(F.translate(text, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", ""))
@@ -51,7 +57,7 @@ def trimmed(text: Column) -> Column:
 
 
 def collapsed(text: Column) -> Column:
-    return trimmed(F.regexp_replace(text, BLANKS, " "))
+    return F.trim(F.regexp_replace(text, BLANKS, " "))
 
 
 def unescaped(text: Column) -> Column:
@@ -60,14 +66,19 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+def _if_marked(text: Column, made: Column) -> Column:
+    """``made`` for texts with placeholders or entities; most have none."""
+    return F.when(F.contains(text, F.lit("<")) | F.contains(text, F.lit("&")), made).otherwise(text)
+
+
 def plain(text: Column) -> Column:
     """Readable text: placeholders to blanks, entities resolved, blanks collapsed."""
-    return collapsed(unescaped(F.regexp_replace(text, TOKEN, " ")))
+    return collapsed(_if_marked(text, unescaped(F.regexp_replace(text, TOKEN, " "))))
 
 
 def plain_tight(text: Column) -> Column:
     """Readable text with placeholders taken out without a trace."""
-    return trimmed(unescaped(F.regexp_replace(text, TOKEN, "")))
+    return trimmed(_if_marked(text, unescaped(F.regexp_replace(text, TOKEN, ""))))
 
 
 def norm_key(text: Column) -> Column:
@@ -108,11 +119,11 @@ def letters_closed(text: Column) -> Column:
 
 def characters_fixed(text: Column) -> Column:
     """Ligatures, invisible characters, site addresses, spaced capitals, broken hyphens, stray blanks: in this order."""
-    text = F.regexp_replace(ligatures_split(text), INVISIBLE, "")
-    text = F.when(text.rlike(_SITE_NAME), F.regexp_replace(text, SITES, "")).otherwise(text)
-    text = F.when(text.rlike(" ".join([_CAP] * 4)), letters_closed(text)).otherwise(text)
+    # each costly pattern is preceded by a cheap test
+    text = let(F.regexp_replace(ligatures_split(text), INVISIBLE, ""), lambda t: F.when(t.rlike(_SITE_NAME), F.regexp_replace(t, SITES, "")).otherwise(t))
+    text = let(text, lambda t: F.when(t.rlike(" ".join([_CAP] * 4)), letters_closed(t)).otherwise(t))
     text = F.regexp_replace(text, rf"(?<=[a-záéíóúñü])- (?!(?:{HANGING})\b)(?=[a-záéíóúñü])", "")
-    return F.regexp_replace(text, r"(?<=[\p{L}\p{N}_”’\"])[ ]+(?![.] [.])(?=[,.;!?](?:[ \t\n]|$|<))", "")
+    return F.regexp_replace(text, r"(?<=[\p{L}\p{N}_”’\"])[ ]+(?=[,.;!?](?:[ \t\n]|$|<))(?![.] [.])", "")
 
 
 def slug(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
 from foliomill.operators.segments import latest_segments, lines
+from foliomill.plans.runtime import materialize
 
 #: Uses from which a numbered line is a running head, and a line in capitals an artefact.
 HEAD_USES, CAPS_USES = 3, 5
@@ -44,15 +45,16 @@ def classified_lines(segments: DataFrame, books: DataFrame) -> DataFrame:
 
     The learned keys are joined, not collected; headings keep their lines.
     """
-    rows = lines(segments)
+    rows = materialize(lines(segments), "lines")
     heads = running_heads(rows).select("book_id", "key").union(name_keys(books)).distinct().withColumn("is_key", F.lit(True))
     caps = repeated_caps(rows).select("book_id", "line").withColumn("is_caps", F.lit(True))
-    rows = rows.withColumn("key", T.header_key(F.col("line")))
+    short = (F.length("line") <= 60) & F.col("line").rlike(T.NUMBER)
+    rows = rows.withColumn("key", F.when(short, T.header_key(F.col("line"))))
     rows = rows.join(heads, ["book_id", "key"], "left").join(caps, ["book_id", "line"], "left")
     several = F.col("n_lines") > 1
     kind = (
         F.when(F.col("tag").rlike(HEADINGS), None)
-        .when(F.col("is_key") & F.col("line").rlike(T.NUMBER) & (F.length("line") <= 60), "header")
+        .when(F.col("is_key"), "header")
         .when(several & T.is_page_number(F.col("line")), "page number")
         .when((F.length("line") <= 90) & F.col("line").rlike(T.NOTES), "watermark")
         .when(several & F.col("is_caps"), "caps")

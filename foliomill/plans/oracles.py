@@ -122,7 +122,39 @@ def _renamed(sql: str, prefix: str) -> str:
 
 BOTH = f"with {BASE}, {NEW}, {_renamed(_rules('bt'), 'b')}, {_renamed(_rules('nt'), 'n')}"
 
+def fixed(x: str) -> tuple[str, str]:
+    """(expression after ligatures, invisible characters and sites, list of the spaced capitals of t)."""
+    for a, b in T.LIGATURES.items():
+        x = f"replace({x}, {q(a)}, {q(b)})"
+    x = f"regexp_replace(regexp_replace({x}, {q(T.INVISIBLE)}, '', 'g'), {q(T.SITES)}, '', 'g')"
+    cap = "[A-ZÁÉÍÓÚÑ]"
+    return x, f"regexp_extract_all(t, {q(EDGE[0] + '((?:' + cap + ' ){3,}' + cap + ')' + EDGE[1])}, 2)"
+
+
+def repaired() -> str:
+    """Character repairs without lookaround: exceptions are marked first, the marks taken off last."""
+    first, gaps = fixed("text")
+    low, dash = "[a-záéíóúñü]", T.HANGING
+    punct = q(r"([\p{L}\p{N}_”’\"])[ ]+([,.;!?])([ \t\n]|$|<)")
+    keep = q(f"({low}- )({dash})" + r"([^\p{L}\p{N}_]|$)")
+    return rf"""f1 as (select seg_id, text, {first} as t from segments where text is not null), f2 as (select seg_id, text, t, {gaps} as g from f1),
+f3 as (select seg_id, text, list_reduce(list_prepend(t, g), lambda a, m: replace(a, m, replace(m, ' ', ''))) as t from f2),
+f4 as (select seg_id, text, regexp_replace(t, {keep}, '\1' || chr(1) || '\2\3', 'g') as t from f3),
+f5 as (select seg_id, text, regexp_replace(regexp_replace(t, '({low})- ({low})', '\1\2', 'g'), '({low})- ({low})', '\1\2', 'g') as t from f4),
+f6 as (select seg_id, text, regexp_replace(replace(t, chr(1), ''), '([ ]+)([.] [.])', '\1' || chr(2) || '\2', 'g') as t from f5),
+f7 as (select seg_id, text, replace(regexp_replace(regexp_replace(t, {punct}, '\1\2\3', 'g'), {punct}, '\1\2\3', 'g'), chr(2), '') as body from f6)"""
+
+
+def times(text: str, word: str) -> str:
+    """Uses of a word; separators are doubled, so that neighbours don't share one."""
+    return rf"len(regexp_extract_all(regexp_replace({text}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), '(^|[^\p{{L}}\p{{N}}_''’])' || {word} || '($|[^\p{{L}}\p{{N}}_])'))"
+
+
 ORACLES = {
+    "char_fix": f"with {repaired()} select seg_id, body from f7 where body <> text",
+    "violations": f"""with {PAIRS}, {WORDS}, {ANSWERED}, hit as (select a.seg_id, a.body, a.tr, n.word as w, lower(left(n.word, 1)) || substring(n.word, 2) as o from an a join nw n on n.book_id = a.book_id and n.uses >= 3 and contains(a.body, n.word) and {holds("a.body", "n.word")}),
+cnt as (select seg_id, w, o, {times("body", "w")} as k, {times("tr", "w")} as good, {times("tr", "o")} as low from hit)
+select seg_id, w as source, case when low > 0 and low <= k - good then w || ': ''' || o || ''' should be ''' || w || '''' else w || ': expected ' || w end as problem from cnt where (low > 0 and low <= k - good) or good = 0""",
     "segment_lines": f"with {LINES} select seg_id, line_no, n_lines, line from ln",
     "translatable": f"select seg_id from segments where {TRANSLATABLE}",
     "plain_texts": f"select seg_id, {plain('text')} as body, {tight('text')} as tight from segments where text is not null",
