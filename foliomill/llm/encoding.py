@@ -31,10 +31,10 @@ from foliomill.llm._lookalike import prototypes
 #: Pairs that bring less than this (per million pairs of the corpus) are improbable.
 WEAK = 120.0
 #: Bits a text's pairs must become more probable in all: for mappings to UTF-8 and to single-byte encodings.
-GAIN_UTF8, GAIN_BYTE = 8.0, 10.0
+GAIN_UTF8, GAIN_BYTE = 5.0, 10.0
 #: Log probability (per million pairs) from which a pair counts as usual.
 USUAL = 3.0
-#: Bits a word gains besides when its bytes are well-formed UTF-8, which is rare by chance.
+#: Bits a word gains besides for each byte that well-formed UTF-8 takes up, which is rare by chance.
 WELL_FORMED = 6.0
 # Characters that stand by themselves in ordinary text; alone they prove nothing.
 ORDINARY = frozenset("„“”‚‘’«»—–…€£§¬|°")
@@ -94,6 +94,7 @@ class PairModel:
         if not self._prepared:
             self._prepared = True
             self.log = dict(zip((chr(p >> 21) + chr(p & (1 << 21) - 1) for p in self.pairs.tolist()), self.logs.tolist()))
+            self.log_chars = {chr(c) for c in self.chars.tolist()}
             self.dense = None
             if len(self.chars) <= DENSE:
                 k = len(self.chars)
@@ -186,8 +187,9 @@ class Repairer:
             new = inverse(word, used, right)
             if new is None or new == word:
                 out.append(None)
-            elif right == "utf-8":
-                out.append((self.worth(new) - before + WELL_FORMED, new))
+            elif right == "utf-8":  # chance makes characters the corpus doesn't know
+                known = all(c < "\x80" or c.lower() in self.model.log_chars or c in _bytes_of("cp1252") for c in new)
+                out.append((self.worth(new) - before + WELL_FORMED * (len(word) - len(new)), new) if known else None)
             elif not odd or all(x == y or x in ORDINARY for x, y in zip(word, new)):
                 out.append((0.0, new))
             else:
@@ -237,12 +239,11 @@ class Repairer:
             return None
         got = {w: self.tries(w) for w in words}
         plain = sum(max(0.0, got[w][1]) for w in votes)
-        best, which = 0.0, -1
-        for k in range(len(MAPPINGS)):
-            total = sum(max(-3.0, min(40.0, got[w][0][k][0])) if got[w][0][k] else -1.0 for w in votes)
-            if total > best:
-                best, which = total, k
-        if which < 0 or best < (GAIN_UTF8 if MAPPINGS[which][1] == "utf-8" else GAIN_BYTE) or best <= plain:
+        totals = [sum(max(-3.0, min(40.0, got[w][0][k][0])) if got[w][0][k] else -1.0 for w in votes) for k in range(len(MAPPINGS))]
+        # well-formed UTF-8 is hardly ever chance, so these mappings come first
+        which = max(range(len(MAPPINGS)), key=lambda k: (MAPPINGS[k][1] == "utf-8" and totals[k] >= GAIN_UTF8, totals[k]))
+        best = totals[which]
+        if best < (GAIN_UTF8 if MAPPINGS[which][1] == "utf-8" else GAIN_BYTE) or best <= plain:
             return None
         out, last = [], 0
         for a, b in runs:

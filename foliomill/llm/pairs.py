@@ -69,8 +69,8 @@ APOLOGIES = {
 _HIDDEN = re.compile("</?x\\d+\\s*/?>|\\[\\[[^\\[\\]]*\\]\\]|[\x00-\x08\x0b-\x1f\x7f-\x9f\xad͏؜ᅟᅠ᠎​-‏‪-‮⁠-⁯︀-️﻿ㅤ]")
 _BREAK = re.compile(r"(?<=[^\W\d_])[-‐¬\xad]\s+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
-_STOP = re.compile(r"(?<![.!?…])[.!?…]++[\"'”“»«’)\]]*+(?=\s|$)")
-_ENDS = re.compile(r"[.!?…][\"'”“»«’)\]]*$")
+_STOP = re.compile(r"(?<![.!?…．！？])[.!?…．！？]++[\"'”“»«’)\]]*+(?=\s|$)")
+_ENDS = re.compile(r"[.!?…．！？][\"'”“»«’)\]]*$")
 
 
 def visible(text: str | None) -> str:
