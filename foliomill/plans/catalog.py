@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import languages
 from foliomill.functions import text as T
-from foliomill.operators import batching, cache, cleanup, glossary, limits, markup, quality, segments
+from foliomill.operators import batching, cache, checker, cleanup, glossary, limits, markup, quality, segments, translate
 from foliomill.plans.runtime import materialize
 from foliomill.sources import epub
 from foliomill.sources.tables import table
@@ -209,6 +209,27 @@ def prompt_texts(spark: SparkSession, d: str) -> DataFrame:
     return batching.prompts(rows.join(names, "book_id").withColumn("context", F.lit(None).cast("string"))).select("book_id", "doc_no", "prompt")
 
 
+@query
+def echo_translation(spark: SparkSession, d: str) -> DataFrame:
+    """Pending texts through the whole request path: split, planned, asked for in batches, put together."""
+    rows = materialize(_pending(spark, d), "pending")
+    plan = batching.chunk_plan(rows, table(spark, d, "books"), table(spark, d, "run_config"))
+    units = batching.split_units(_seg(spark, d), 1500).join(rows.select("seg_id"), "seg_id", "left_semi")
+    made = translate.translated_units(translate.requests_of(units, plan), translate.echo)
+    whole = batching.rejoined(made.withColumnRenamed("translation", "unit"))
+    return whole.select("seg_id", F.regexp_replace("body", r"[ \t\n\r\f]+", "").alias("body"))
+
+
+@query
+def checker_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Log entries as a checker's reports: the messages of the first and the second half of the year, compared."""
+    log = table(spark, d, "cleanup_log").select("book_id", "logged_at", F.regexp_extract("entry", r"^([^#:]*)", 1).alias("p"), F.regexp_extract("entry", r"^[^:]*: ([A-Za-z]+ [A-Za-z]+)", 1).alias("m"), (F.col("doc_no") % 3).alias("k"))
+    severity = F.when(F.col("k") == 0, "ERROR").when(F.col("k") == 1, "WARNING").otherwise("INFO")
+    item = F.struct(F.col("m").alias("ID"), severity.alias("severity"), F.concat("m", F.lit("; expected "), "p").alias("message"), F.array(F.struct(F.col("p").alias("path"), F.lit(1).alias("line"))).alias("locations"))
+    part = lambda late: checker.messages(log.filter((F.month("logged_at") > 6) == late).groupBy("book_id").agg(F.to_json(F.struct(F.collect_list(item).alias("messages"))).alias("json")))
+    return checker.new_problems(part(False), part(True))
+
+
 # --- terms
 
 

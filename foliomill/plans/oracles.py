@@ -12,6 +12,7 @@ def q(s: str) -> str:
 
 
 WS = r"[ \t\n\r\f]+"
+ANY_WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def trim(x: str) -> str:
@@ -246,6 +247,10 @@ a as (select book_id as asked, trim(regexp_replace({fold("list_extract(string_sp
     "scalar_texts": """select log_id as id, case when length(entry) <= 40 then entry else '…' || regexp_replace(right(entry, 40), '^[^ ]* ', '') end as tail, replace(replace(entry, 'OEBPS', '***'), 'xhtml', '***') as redacted, entry as answer,
 regexp_replace(regexp_replace(regexp_replace(regexp_replace(split_part('Title: “' || substring(entry, 1, 30) || '”', chr(10), 1), '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'), '^["“”«»*]+|["“”«»*]+$', '', 'g'), '^Title:', ''), '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') as title,
 entry as key, nullif(regexp_extract('retryDelay: ' || regexp_extract(entry, '#([0-9]+)', 1) || 's', '(?i)retry(?:Delay|[ -]?after| in)[^0-9]{0,12}([0-9]+)', 1), '')::int as delay from cleanup_log""",
+    "echo_translation": f"with {PENDING} select p.seg_id, regexp_replace(p.text, {q(ANY_WS)}, '', 'g') as body from pend p join books b on b.book_id = p.book_id join run_config r on r.profile = b.profile",
+    "checker_diff": """with m as (select book_id, regexp_extract(entry, '^[^:]*: ([A-Za-z]+ [A-Za-z]+)', 1) as id, case doc_no % 3 when 0 then 'ERROR' when 1 then 'WARNING' else 'INFO' end as s, month(logged_at) > 6 as late from cleanup_log),
+x as (select book_id, count(*) filter (late and isnew and s = 'ERROR') as new_errors, count(*) filter (late and isnew and s = 'WARNING') as new_warnings, count(*) filter (not late) as preexisting, count(*) filter (not late and isnew) as fixed
+from (select *, not exists (select 1 from m n where n.book_id = m.book_id and n.id = m.id and n.late <> m.late) as isnew from m) group by 1) select * from x""",
     "sliding_rate": "select event_id, user_id, calls from (select event_id, user_id, count(*) over (partition by user_id order by epoch_us(ts) range between 21599999999 preceding and current row) as calls from events) where calls > 2",
     "daily_quota": "select user_id, (ts - interval 8 hours)::date as day, count(*) as calls, greatest(0, count(*) - 1) as over from events group by 1, 2",
     "stream_daily_quota": "select user_id, (ts - interval 8 hours)::date as day, count(*) as calls from events group by 1, 2",
