@@ -121,5 +121,5 @@ def leaked_runs(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     # one row a pair; positions of one pair are bounded by the two texts
     pairs = hits.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("dpos", "ipos")).alias("hits"))
     some = docs.join(small(materialize(hits.select("doc_id").distinct(), "hit-docs")), "doc_id", "left_semi")
-    rows = some.join(pairs, "doc_id").join(items, "item_id").select("doc_id", "doc_text", "item_id", "item_text", "hits")
+    rows = some.join(pairs, "doc_id").join(small(materialize(items, "items")), "item_id").select("doc_id", "doc_text", "item_id", "item_text", "hits")
     return rows.mapInArrow(_extend, "doc_id long, item_id long, doc_word int, item_word int, n_words int").filter(F.col("n_words") >= RUN).distinct()

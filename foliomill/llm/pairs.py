@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm._codes import SEP, chunks, code_points, joined
+from foliomill.plans.runtime import materialize, small
 
 #: Labelled rows the language classifier is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -40,6 +41,8 @@ TRAIN_ROWS = 20_000
 COPY_LETTERS = 25
 #: Letters a label in front of a copy may have.
 LABEL = 24
+#: Entries from which a prompt's entries are joined apart.  There are at most rows / HOT_ROWS such prompts.
+HOT_ROWS = 200_000
 #: Trigram buckets of the classifier.
 BUCKETS = 1 << 16
 
@@ -231,7 +234,17 @@ def joined_pairs(segments: DataFrame, cache: DataFrame) -> DataFrame:
     prompts = segments.filter("text is not null").select(F.col("book_id").alias("b"), F.col("doc_no").alias("d"), F.sha1(F.encode("text", "utf-8")).alias("h"), F.col("text").alias("prompt"))
     prompts = prompts.groupBy("b", "d", "h").agg(F.min("prompt").alias("prompt"))
     entries = cache.select(F.col("book_id").alias("b"), F.col("doc_no").alias("d"), F.lower("src_sha1").alias("h"), F.col("cache_id").cast("long").alias("row_id"), "target_lang", F.col("translation").alias("answer"))
-    return entries.join(prompts, ["b", "d", "h"]).select("row_id", "target_lang", "prompt", "answer")
+    return _joined(entries, prompts, ["b", "d", "h"]).select("row_id", "target_lang", "prompt", "answer")
+
+
+def _joined(entries: DataFrame, prompts: DataFrame, key: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """entries join prompts; keys that very many entries share are joined apart, to a broadcast of their few prompts."""
+    hot = materialize(entries.groupBy(*key).count().filter(F.col("count") > hot_rows).select(*key), "hot-keys")
+    if hot.isEmpty():
+        return entries.join(prompts, key)
+    usual = entries.join(F.broadcast(hot), key, "left_anti").join(prompts, key)
+    few = small(materialize(prompts.join(F.broadcast(hot), key, "left_semi"), "hot-prompts"), 10_000)
+    return usual.unionByName(entries.join(F.broadcast(hot), key, "left_semi").join(few, key))
 
 
 def defective_pairs(segments: DataFrame, cache: DataFrame, books: DataFrame) -> DataFrame:

@@ -184,6 +184,14 @@ def test_defects(prompt, answer, want):
     assert got == want
 
 
+def test_hot_prompts(spark):
+    entries = spark.createDataFrame([(i, i % 7 if i % 3 else 0) for i in range(60)], "row_id int, k int")
+    prompts = spark.createDataFrame([(k, f"p{k}") for k in range(6)], "k int, prompt string")
+    want = sorted(map(tuple, entries.join(prompts, "k").collect()))
+    for hot in (5, 20, 1000):
+        assert sorted(map(tuple, pairs._joined(entries, prompts, ["k"], hot).select("k", "row_id", "prompt").collect())) == want
+
+
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
 def test_lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
