@@ -191,7 +191,9 @@ def language_model(segments: DataFrame, books: DataFrame, rows: int = TRAIN_ROWS
     """Fitted on the texts of books whose language is stated; ``rows`` bounds the sample."""
     langs = books.select("book_id", "lang").filter("lang is not null").groupBy("book_id").agg(F.min("lang").alias("row_lang"))
     sample = segments.filter(F.length("text") > 40).select("book_id", "seg_id", "text").join(langs, "book_id").select("row_lang", "text", F.xxhash64("seg_id").alias("h"))
-    got = sample.orderBy("h", "text").limit(rows).select("row_lang", "text").toPandas()
+    # thinned by the same hash first, so that tasks don't each send their own ``rows`` smallest to the driver
+    keep = max(1, segments.count() // (4 * rows))
+    got = sample.filter(F.pmod(F.xxhash64(F.col("h")), F.lit(keep)) == 0).orderBy("h", "text").limit(rows).select("row_lang", "text").toPandas()
     return Languages.fit([visible(t) for t in got["text"]], got["row_lang"].tolist())
 
 
