@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliomill.plans.runtime import materialize
+from foliomill.plans.runtime import materialize, small
 
 #: Capacity where a book has no settings.
 DEFAULT_MAX_CHARS = 24_000
@@ -136,6 +136,7 @@ def pack_requests(segments: DataFrame, books: DataFrame, run_config: DataFrame,
     ``request_no`` counts from 1 within a document.
     """
     caps = books.select("book_id", "profile").join(run_config.select("profile", "max_chars"), "profile", "left").groupBy("book_id").agg(F.max("max_chars").alias("cap"))
+    caps = small(materialize(caps, "caps"))
     items = segments.select(
         F.col("book_id").cast("long").alias("book_id"), F.col("doc_no").cast("int").alias("doc_no"), F.col("seg_id").cast("long").alias("item"),
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), F.coalesce(F.col("seg_no"), F.lit(-1)).cast("long").alias("ord"),
