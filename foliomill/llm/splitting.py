@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliomill.plans.runtime import materialize, small
+
 #: Limit and overlap where a book has no settings.
 DEFAULT_LIMIT, DEFAULT_OVERLAP = 6000, 0
 
@@ -139,6 +141,7 @@ def split_segments(segments: DataFrame, books: DataFrame, run_config: DataFrame)
     """
     limits = books.select("book_id", "profile").join(run_config.select("profile", "segment_chars", "context_chars"), "profile", "left")
     limits = limits.groupBy("book_id").agg(F.max("segment_chars").alias("row_limit"), F.max("context_chars").alias("row_overlap"))
+    limits = small(materialize(limits, "limits"))  # a row per book: the texts needn't be shuffled to meet it
     rows = segments.select(F.col("book_id"), F.col("seg_id").cast("long").alias("row_id"), F.col("text").alias("row_text")).join(limits, "book_id", "left")
     rows = rows.select("row_id", "row_text", F.coalesce("row_limit", F.lit(DEFAULT_LIMIT)).alias("row_limit"), F.coalesce("row_overlap", F.lit(DEFAULT_OVERLAP)).alias("row_overlap"))
     return rows.filter(F.length("row_text") > F.col("row_limit")).mapInArrow(_split, _OUT)
