@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm._codes import SEP, chunks, code_points, joined
+from foliomill.llm._codes import chunks, code_points
 from foliomill.llm._lookalike import prototypes
 
 #: Pairs that bring less than this (per million pairs of the corpus) are improbable.
@@ -38,6 +38,12 @@ USUAL = 3.0
 WELL_FORMED = 6.0
 # Characters that stand by themselves in ordinary text; alone they prove nothing.
 ORDINARY = frozenset("„“”‚‘’«»—–…€£§¬|°")
+# Dashes and quotes that stand next to a capital in ordinary text, so that one pair of them may be UTF-8 by chance.
+MARKS = frozenset("„“”‚‘’«»—–…")
+#: Bits a pair that a mapping makes must lie above the garbled one, where this is frequent itself.
+MAPPED = 3.0
+#: Words whose weights are kept.
+KEPT_WORDS = 300_000
 #: Beyond so many distinct characters the pair table is searched instead of indexed.
 DENSE = 4096
 
@@ -153,15 +159,46 @@ def inverse(run: str, used: str, right: str) -> str | None:
 
 
 @lru_cache(None)
-def _lut(used: str, right: str) -> np.ndarray:
-    """Code point -> mapped code point (to its byte for UTF-8); 0 where there is none."""
-    out = np.zeros(0x110000, np.uint32)
+def _byte_lut(used: str) -> np.ndarray:
+    """Code point -> byte; 256 where there is none."""
+    out = np.full(0x110000, 256, np.uint16)
     for c, i in _bytes_of(used).items():
-        out[ord(c)] = i if right == "utf-8" else ord(_chars_of(right)[i].lower()[0])
-    out[:128] = np.arange(128)
+        out[ord(c)] = i
     return out
 
 
+@lru_cache(None)
+def _char_lut(right: str) -> np.ndarray:
+    """Byte -> small letter of its character; 0 where there is none (256 stands for no byte)."""
+    chars = _chars_of(right)
+    return np.array([ord(c.lower()[0]) if i < 128 or c != " " and (c == "\xa0" or c.isprintable()) else 0 for i, c in enumerate(chars)] + [0], np.uint32)
+
+
+@lru_cache(1)
+def _small() -> np.ndarray:
+    """Code point -> that of its small letter."""
+    return np.fromiter((ord(chr(i).lower()[0]) for i in range(0x110000)), np.uint32, 0x110000)
+
+
+def _words(text: str) -> list[str]:
+    """Words with a character beyond ASCII."""
+    return [w for w in text.replace("\n", " ").replace("\t", " ").split(" ") if not w.isascii()]
+
+
+def _votes(word: str) -> bool:
+    """Whether a word is long enough to prove anything."""
+    return len(word) > 2 or sum(c.isalpha() for c in word) > 1
+
+
+def _by_chance(word: str, new: str) -> bool:
+    """Whether the word's one UTF-8 character may be a letter beside a dash or quote."""
+    if len(word) - len(new) != 1:
+        return False
+    at = next(i for i, c in enumerate(word) if c > "\x7f")
+    inside = at > 0 and word[at - 1].isalnum() and word[at + 2 : at + 3].isalnum()
+    return not inside and not MARKS.isdisjoint(word[at : at + 2])
+
+
 def _rises(word: str) -> int:
     """Places where a capital follows a small letter, and a capital at the start."""
     return sum(a.islower() and b.isupper() for a, b in zip(word, word[1:])) + word[:1].isupper()
@@ -171,12 +208,13 @@ class Repairer:
     def __init__(self, model: PairModel):
         self.model = model.prepare()
         self.tries = lru_cache(200_000)(self._tries)
+        self.weights: dict[str, np.ndarray | None] = {}
 
-    def worth(self, word: str) -> float:
-        """Sum of log probabilities, above the usual, of the pairs with a non-ASCII character."""
+    def worth(self, word: str, most: float = np.inf) -> float:
+        """Sum of log probabilities, above the usual and up to ``most``, of the pairs with a non-ASCII character."""
         s = f" {word.lower()} "
         get, low = self.model.log.get, self.model.floor
-        return sum(get(s[i : i + 2], low) - USUAL for i in range(len(s) - 1) if s[i] > "\x7f" or s[i + 1] > "\x7f")
+        return sum(min(most, get(s[i : i + 2], low) - USUAL) for i in range(len(s) - 1) if s[i] > "\x7f" or s[i + 1] > "\x7f")
 
     def _tries(self, word: str) -> tuple[list[tuple[float, str] | None], float]:
         """Gain and result of each mapping, and the gain of replacing look-alikes."""
@@ -189,8 +227,10 @@ class Repairer:
                 out.append(None)
             elif right == "utf-8":  # chance makes characters the corpus doesn't know
                 known = all(c < "\x80" or c.lower() in self.model.log_chars or c in _bytes_of("cp1252") for c in new)
-                out.append((self.worth(new) - before + WELL_FORMED * (len(word) - len(new)), new) if known else None)
-            elif not odd or all(x == y or x in ORDINARY for x, y in zip(word, new)):
+                # frequent garble must not vouch for itself
+                least = before if _by_chance(word, new) else self.worth(word, 0.0)
+                out.append((self.worth(new) - least + WELL_FORMED * (len(word) - len(new)), new) if known else None)
+            elif not odd and self.worth(new) - before < MAPPED * pairs or all(x == y or x in ORDINARY for x, y in zip(word, new)):
                 out.append((0.0, new))
             else:
                 out.append((self.worth(new) - before - 10.0 * (_rises(new) > _rises(word)), new))
@@ -198,11 +238,56 @@ class Repairer:
         plain = plain[plain != 0].tobytes().decode("utf-32-le")
         return out, self.worth(plain) - before if plain != word else 0.0
 
+    def weigh(self, words: set[str]) -> None:
+        """Into ``weights``: each word's gain by the single-byte mappings, infinite where it may be UTF-8; None where no mapping gains."""
+        new = [w for w in words if w not in self.weights]
+        if len(self.weights) + len(new) > KEPT_WORDS:
+            self.weights.clear()
+            new = list(words)
+        self.weights |= dict.fromkeys(new)
+        new = [w for w in new if _votes(w)]
+        for start, stop in chunks([len(w) for w in new]):
+            self._weigh(new[start:stop])
+
+    def _weigh(self, words: list[str]) -> None:
+        codes = code_points(" " + " ".join(words) + " ")
+        at = np.flatnonzero((codes[:-1] > 127) | (codes[1:] > 127))
+        which = (np.cumsum(codes == 32) - 1)[at]
+        total = lambda x: np.bincount(which, x, len(words))
+        first, second = codes[at], codes[at + 1]
+        a, b = _small()[first], _small()[second]
+        logs = self.model.log2(a, b)
+        before, pairs = total(logs - USUAL), total(None)
+        utf8 = np.zeros(len(words), bool)
+        gains = np.zeros((len(words), len(MAPPINGS)), np.float32)
+        for k, (used, right) in enumerate(MAPPINGS):
+            x, y = _byte_lut(used)[first], _byte_lut(used)[second]
+            if right == "utf-8":
+                lead = (x >= 0xC2) & (x <= 0xF4)
+                # no lead without its follower, no follower after ASCII, and nothing that has no byte
+                wrong = (x > 255) | (y > 255) | (lead & ((y < 0x80) | (y > 0xBF))) | ((x < 0x80) & (y >= 0x80) & (y < 0xC2))
+                utf8 |= (total(lead) > 0) & (total(wrong) == 0)
+            else:
+                c, d = _char_lut(right)[x], _char_lut(right)[y]
+                gain = np.where(total((c == 0) | (d == 0)) > 0, -1.0, total(self.model.log2(c, d) - logs))
+                gains[:, k] = np.where((before < 0) | (pairs < 3) | (gain >= MAPPED * pairs) | (gain < 0), np.clip(gain, -3.0, 40.0), 0.0)
+        for i in np.flatnonzero(utf8 | (gains > 0).any(1)).tolist():
+            self.weights[words[i]] = np.where(utf8[i], np.inf, gains[i])
+
+    def _sure(self, word: str) -> bool:
+        """Whether a mapping makes the word so much more probable that it needs no other evidence."""
+        return self.weights.get(word) is not None and any(t and t[0] >= (GAIN_UTF8 if right == "utf-8" else GAIN_BYTE) for t, (_, right) in zip(self.tries(word)[0], MAPPINGS))
+
     def runs(self, text: str) -> list[tuple[int, int]]:
-        """Maximum-scoring segments of improbable pairs, widened to whole words."""
+        """Maximum-scoring segments of improbable pairs, or of pairs far less probable than mapped, widened to whole words."""
         codes = code_points(text.lower() if len(text.lower()) == len(text) else text)
         wide = (codes[:-1] > 127) | (codes[1:] > 127)
         score = np.where(wide, np.log2((WEAK + 1) / (self.model.value(codes) + 1)), -1.0)
+        self.weigh(set(_words(text)))
+        for m in re.finditer(r"[^ \n\t]+", text):
+            if not m[0].isascii() and self._sure(m[0]):
+                own = slice(max(0, m.start() - 1), m.end())
+                score[own] = np.where(wide[own], np.log2(WEAK + 1), score[own])
         out: list[list[int]] = []
         total, best, start, stop = 0.0, 0.0, 0, 0
         for i in np.flatnonzero(wide & (score > 0)).tolist():
@@ -234,7 +319,7 @@ class Repairer:
         """The text after the best mapping, tried on the words of its improbable runs."""
         runs = self.runs(text)
         words = {w for a, b in runs for w in re.split(r"[ \n\t]", text[a:b]) if not w.isascii()}
-        votes = [w for w in words if sum(c.isalpha() for c in w) > 1 or len(w) > 2]
+        votes = [w for w in words if _votes(w)]
         if not votes:
             return None
         got = {w: self.tries(w) for w in words}
@@ -266,27 +351,15 @@ class Repairer:
         return (text, ",".join(dict.fromkeys(used))) if used else None
 
     def candidates(self, texts: list[str]) -> np.ndarray:
-        """Rows whose improbable pairs some mapping makes more probable, by whole-array arithmetic."""
-        codes = code_points(joined(texts).lower())
-        row = np.cumsum(codes == ord(SEP))
-        a, b = codes[:-1], codes[1:]
-        at = np.flatnonzero(((a > 127) | (b > 127)) & (a != ord(SEP)) & (b != ord(SEP)))
-        keep = self.model.value2(a[at], b[at]) < WEAK
-        at = at[keep]
-        a, b, row, lost = a[at], b[at], row[at], np.unique(row[codes == 0xFFFD])
-        before = self.model.log2(a, b)
-        odd = before < USUAL
-        hit = np.zeros(len(texts), bool)
-        hit[lost] = True
-        for used, right in MAPPINGS:
-            lut = _lut(used, right)
-            x, y = lut[a], lut[b]
-            if right == "utf-8":
-                hit[row[(x >= 0xC2) & (x <= 0xF4) & (y >= 0x80) & (y < 0xC0)]] = True
-            else:
-                gain = np.clip(np.where((x > 0) & (y > 0), self.model.log2(x, y) - before, -1.0), -2.0, 12.0)
-                hit |= np.bincount(row, np.where(odd, gain, 0), len(texts)) >= GAIN_BYTE * 0.6
-        return np.flatnonzero(hit)
+        """Rows with words that some mapping makes more probable; words are weighed once, by whole-array arithmetic."""
+        rows = [_words(t.lower()) for t in texts]
+        self.weigh({w for words in rows for w in words})
+        hit = []
+        for i, (text, words) in enumerate(zip(texts, rows)):
+            gains = [g for g in map(self.weights.get, words) if g is not None]
+            if "\ufffd" in text or gains and np.sum(gains, 0).max() >= GAIN_BYTE * 0.6:
+                hit.append(i)
+        return np.array(hit, np.int64)
 
 
 def pair_model(segments: DataFrame, text: str = "text") -> PairModel:
