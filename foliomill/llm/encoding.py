@@ -352,7 +352,7 @@ class Repairer:
 
     def candidates(self, texts: list[str]) -> np.ndarray:
         """Rows with words that some mapping makes more probable; words are weighed once, by whole-array arithmetic."""
-        rows = [_words(t.lower()) for t in texts]
+        rows = [_words(t) for t in texts]
         self.weigh({w for words in rows for w in words})
         hit = []
         for i, (text, words) in enumerate(zip(texts, rows)):

@@ -31,3 +31,10 @@ def test_frequent_garble_does_not_vouch_for_itself():
     assert r.repair(few[0]) == ("the house was café and tree.", "cp1252>utf-8")
     assert all((got := r.repair(t)) and got[0] == t.encode("cp1252").decode() for t in garbled[:50])
     assert not len(r.candidates(clean[:50])) or not any(map(r.repair, clean[:50]))
+
+
+def test_bytes_are_looked_up_before_lower_casing():
+    r = repairer(sentences(1500, more=["didn’t", "“Until", "over.”"]))
+    texts = ["he didnΓÇÖt go home", "he didnÔÇÖt go home"]  # cp437 and cp850: the small letters have other bytes, or none
+    assert r.candidates(texts).tolist() == [0, 1]
+    assert [r.repair(t)[0] for t in texts] == ["he didn’t go home"] * 2
