@@ -147,15 +147,26 @@ def _chars_of(right: str) -> list[str]:
     return [bytes([i]).decode(right, "replace").replace("\ufffd", " ") for i in range(256)]
 
 
-def inverse(run: str, used: str, right: str) -> str | None:
-    """The run encoded with ``used`` and decoded with ``right``; None where that can't be."""
+def _raw(run: str, used: str) -> bytes | None:
     table = _bytes_of(used)
     try:
-        raw = bytes([table[c] for c in run])
-        new = raw.decode("utf-8") if right == "utf-8" else "".join([_chars_of(right)[i] for i in raw])
-    except (KeyError, UnicodeDecodeError):
+        return bytes([table[c] for c in run])
+    except KeyError:
         return None
-    return new if right == "utf-8" or new.count(" ") == run.count(" ") and new.replace("\xa0", "x").isprintable() else None
+
+
+def inverse(run: str, used: str, right: str, raw: bytes | None = None) -> str | None:
+    """The run encoded with ``used`` (``raw``, if at hand) and decoded with ``right``; None where that can't be."""
+    raw = _raw(run, used) if raw is None else raw
+    if raw is None:
+        return None
+    if right == "utf-8":
+        try:
+            return raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return None
+    new = "".join(map(_chars_of(right).__getitem__, raw))
+    return new if new.count(" ") == run.count(" ") and new.replace("\xa0", "x").isprintable() else None
 
 
 @lru_cache(None)
@@ -216,13 +227,20 @@ class Repairer:
         get, low = self.model.log.get, self.model.floor
         return sum(min(most, get(s[i : i + 2], low) - USUAL) for i in range(len(s) - 1) if s[i] > "\x7f" or s[i + 1] > "\x7f")
 
-    def _tries(self, word: str) -> tuple[list[tuple[float, str] | None], float]:
-        """Gain and result of each mapping, and the gain of replacing look-alikes."""
+    def _full(self, word: str) -> float:
+        """Like ``worth``, over all pairs."""
+        s = f" {word.lower()} "
+        get, low = self.model.log.get, self.model.floor
+        return sum(get(s[i : i + 2], low) - USUAL for i in range(len(s) - 1))
+
+    def _tries(self, word: str) -> tuple[list[tuple[float, str] | None], float, float, np.ndarray]:
+        """Gain and result of each mapping, the gain of replacing look-alikes, the same over all pairs, and the mappings' gains within bounds."""
         before, out = self.worth(word), []
         pairs = sum(max(a, b) > "\x7f" for a, b in zip(f" {word}", f"{word} "))
         odd = before < 0.0 or pairs < 3
+        raws = {used: _raw(word, used) for used in dict(MAPPINGS)}
         for used, right in MAPPINGS:
-            new = inverse(word, used, right)
+            new = None if raws[used] is None else inverse(word, used, right, raws[used])
             if new is None or new == word:
                 out.append(None)
             elif right == "utf-8":  # chance makes characters the corpus doesn't know
@@ -230,13 +248,15 @@ class Repairer:
                 # frequent garble must not vouch for itself
                 least = before if _by_chance(word, new) else self.worth(word, 0.0)
                 out.append((self.worth(new) - least + WELL_FORMED * (len(word) - len(new)), new) if known else None)
-            elif not odd and self.worth(new) - before < MAPPED * pairs or all(x == y or x in ORDINARY for x, y in zip(word, new)):
+            elif all(x == y or x in ORDINARY for x, y in zip(word, new)):
                 out.append((0.0, new))
             else:
-                out.append((self.worth(new) - before - 10.0 * (_rises(new) > _rises(word)), new))
-        plain = prototypes()[code_points(word)]
+                gain = self.worth(new) - before
+                out.append((gain - 10.0 * (_rises(new) > _rises(word)) if odd or gain >= MAPPED * pairs else 0.0, new))
+        plain = prototypes()[code_points(word.replace("\xa0", " "))]
         plain = plain[plain != 0].tobytes().decode("utf-32-le")
-        return out, self.worth(plain) - before if plain != word else 0.0
+        gains = np.array([max(-3.0, min(40.0, t[0])) if t else -1.0 for t in out])
+        return out, *((self.worth(plain) - before, self._full(plain) - self._full(word)) if plain != word else (0.0, 0.0)), gains
 
     def weigh(self, words: set[str]) -> None:
         """Into ``weights``: each word's gain by the single-byte mappings, infinite where it may be UTF-8; None where no mapping gains."""
@@ -315,27 +335,42 @@ class Repairer:
                 wider.append((a, b))
         return wider
 
-    def _once(self, text: str) -> tuple[str, str] | None:
-        """The text after the best mapping, tried on the words of its improbable runs."""
-        runs = self.runs(text)
-        words = {w for a, b in runs for w in re.split(r"[ \n\t]", text[a:b]) if not w.isascii()}
-        votes = [w for w in words if _votes(w)]
-        if not votes:
-            return None
-        got = {w: self.tries(w) for w in words}
-        plain = sum(max(0.0, got[w][1]) for w in votes)
-        totals = [sum(max(-3.0, min(40.0, got[w][0][k][0])) if got[w][0][k] else -1.0 for w in votes) for k in range(len(MAPPINGS))]
+    def _best(self, votes: list[str], alone: bool = False) -> tuple[int | None, list[float]]:
+        """(the mapping that holds for these words or None, each mapping's total); ``alone``: one word's gain may stand for them all."""
+        got = [self.tries(w) for w in votes]
+        if sum(g.max() for *_, g in got if g.max() > 0) < GAIN_UTF8:
+            return None, []
+        plain = max(sum(max(0.0, t[1]) for t in got), alone and sum(max(0.0, t[2]) for t in got))
+        gains = np.array([g for *_, g in got])
+        totals = np.maximum(gains.sum(0), gains.max(0) if alone else -np.inf).tolist()
         # well-formed UTF-8 is hardly ever chance, so these mappings come first
         which = max(range(len(MAPPINGS)), key=lambda k: (MAPPINGS[k][1] == "utf-8" and totals[k] >= GAIN_UTF8, totals[k]))
-        best = totals[which]
-        if best < (GAIN_UTF8 if MAPPINGS[which][1] == "utf-8" else GAIN_BYTE) or best <= plain:
-            return None
-        out, last = [], 0
-        for a, b in runs:
-            done = [got[w][0][which][1] if w in got and got[w][0][which] and got[w][0][which][0] > -8 else w for w in re.split(r"([ \n\t])", text[a:b])]
-            out += [text[last:a], "".join(done)]
+        holds = totals[which] >= (GAIN_UTF8 if MAPPINGS[which][1] == "utf-8" else GAIN_BYTE) and totals[which] > plain
+        return which if holds else None, totals
+
+    def _once(self, text: str) -> tuple[str, list[str]] | None:
+        """The text after the best mapping of each improbable run: the whole text's, where the run has none that is markedly better."""
+        runs = self.runs(text)
+        words = [list(dict.fromkeys(_words(text[a:b]))) for a, b in runs]
+        whole, _ = self._best([w for w in dict.fromkeys(w for run in words for w in run) if _votes(w)])
+        out, last, used = [], 0, []
+        inside = {w for own in words for w in own}
+        home = {c for w in _words(text) if w not in inside for c in w} | {chr(c) for c in range(128)}
+        for (a, b), own in zip(runs, words):
+            # characters that stand in usual words of the text too need the whole text's evidence
+            which, totals = self._best([w for w in own if _votes(w) and not home.issuperset(w)], alone=True)
+            least = -3.0
+            if whole is not None and (which is None or totals[whole] > totals[which] - GAIN_BYTE / 2):
+                which, least = whole, -8.0
+            if which is None:
+                continue
+            got = {w: self.tries(w)[0][which] for w in own}
+            done = "".join([got[w][1] if got.get(w) and got[w][0] > least else w for w in re.split(r"([ \n\t])", text[a:b])])
+            if done != text[a:b]:
+                used.append(">".join(MAPPINGS[which]))
+            out += [text[last:a], done]
             last = b
-        return "".join([*out, text[last:]]), ">".join(MAPPINGS[which])
+        return ("".join([*out, text[last:]]), list(dict.fromkeys(used))) if used else None
 
     def repair(self, text: str) -> tuple[str, str] | None:
         """(repaired text, mappings) of an affected text, None of others."""
@@ -345,7 +380,7 @@ class Repairer:
             if got is None:
                 break
             text = got[0]
-            used.append(got[1])
+            used += got[1]
         if text == original and used[:1] != ["lost"]:  # mappings that undo each other
             return None
         return (text, ",".join(dict.fromkeys(used))) if used else None
@@ -357,7 +392,7 @@ class Repairer:
         hit = []
         for i, (text, words) in enumerate(zip(texts, rows)):
             gains = [g for g in map(self.weights.get, words) if g is not None]
-            if "\ufffd" in text or gains and np.sum(gains, 0).max() >= GAIN_BYTE * 0.6:
+            if "\ufffd" in text or gains and np.maximum(gains, 0).sum(0).max() >= GAIN_BYTE * 0.99:
                 hit.append(i)
         return np.array(hit, np.int64)
 

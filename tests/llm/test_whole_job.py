@@ -38,3 +38,13 @@ def test_bytes_are_looked_up_before_lower_casing():
     texts = ["he didnΓÇÖt go home", "he didnÔÇÖt go home"]  # cp437 and cp850: the small letters have other bytes, or none
     assert r.candidates(texts).tolist() == [0, 1]
     assert [r.repair(t)[0] for t in texts] == ["he didn’t go home"] * 2
+
+
+def test_a_garbled_word_counts_in_a_long_text():
+    odd = " ".join(f"x{a}q{b}" for a in "ďľřšťž" for b in "ąęłńśźżć")  # improbable words that no mapping betters
+    clean = sentences(1500)
+    r = repairer(clean + [odd])
+    bad = "garçon".encode("cp1252").decode("cp437")
+    text = f"{clean[0]} {odd} {clean[1]} the {bad} tree {clean[2]} {odd}"
+    assert r.candidates([text]).tolist() == [0]
+    assert r.repair(text)[0] == text.replace(bad, "garçon")
