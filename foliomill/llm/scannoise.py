@@ -311,8 +311,11 @@ def _quoted(entry: Column) -> Column:
     return F.regexp_replace(inner, r"' ?⏎ ?'", "\n")
 
 
-def edge_table(segments: DataFrame, books: DataFrame, cleanup_log: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Texts of both tables after edge lines and sure hyphens, written once for the passes that follow."""
+def edge_table(segments: DataFrame, books: DataFrame, cleanup_log: DataFrame, keep_text: bool = False, further: DataFrame | None = None) -> DataFrame:
+    """Texts of both tables after edge lines and sure hyphens, written once for the passes that follow.
+
+    With ``further`` (row_id, book_id, further) only its segments, for which these headings count as well.
+    """
     segments = segments.select("seg_id", "book_id", "doc_no", "tag", "text")
     heads = segments.filter(F.col("tag").rlike("^h[1-6]$") & (F.length("text").between(4, 160)))
     heads = heads.select(F.col("book_id").alias("hb"), F.col("doc_no").alias("hd"), "text").distinct()
@@ -323,21 +326,24 @@ def edge_table(segments: DataFrame, books: DataFrame, cleanup_log: DataFrame, ke
     seg = segments.filter("text is not null and text <> '' and seg_id is not null")
     seg = seg.join(heads, (F.col("book_id") == F.col("hb")) & (F.col("doc_no") == F.col("hd")), "left").join(names, F.col("book_id") == F.col("nb"), "left")
     seg = seg.select(F.lit("segments").alias("tbl"), F.col("seg_id").cast("long").alias("row_id"), "book_id", F.col("text").alias("row_text"), "tag", "title", "author", "headings")
+    if further is not None:
+        seg = seg.join(further, ["row_id", "book_id"]).select("tbl", "row_id", "book_id", "row_text", "tag", "title", "author", F.concat(F.coalesce("headings", F.array().cast("array<string>")), "further").alias("headings"))
+        return materialize(seg.mapInArrow(_edge_rows(keep_text), _EDGE_OUT), "edge-lines-again")
     log = cleanup_log.select(F.lit("cleanup_log").alias("tbl"), F.col("log_id").cast("long").alias("row_id"), F.lit(None).cast("long").alias("book_id"), _quoted(F.col("entry")).alias("row_text")).filter("row_text <> '' and row_id is not null")
     rows = seg.unionByName(log, allowMissingColumns=True)
     return materialize(rows.mapInArrow(_edge_rows(keep_text), _EDGE_OUT), "edge-lines")
 
 
 def heading_names(segments: DataFrame) -> DataFrame:
-    """(book_id, name): compact headings of each book, without their numbers."""
+    """(book_id, name, heading): headings of each book, compact without their numbers, and as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [compact(re.sub(r"<[^>]*>", " ", re.sub(r"^\s*\d+\s*[.:)]?\s+", "", t))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string())], names=["book_id", "name"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), batch.column(1).cast(pa.string())], names=["book_id", "name", "heading"])
 
     rows = segments.filter(F.col("tag").rlike("^h[1-6]$") & F.length("text").between(4, 160) & F.col("book_id").isNotNull()).select(F.col("book_id").cast("long").alias("book_id"), "text").distinct()
-    return rows.mapInArrow(run, "book_id long, name string").filter(F.length("name") >= 8).distinct()
+    return rows.mapInArrow(run, "book_id long, name string, heading string").filter(F.length("name") >= 8).distinct()
 
 
 def heads_elsewhere(edge: DataFrame, segments: DataFrame) -> DataFrame:
@@ -349,6 +355,13 @@ def heads_elsewhere(edge: DataFrame, segments: DataFrame) -> DataFrame:
     return tried.join(heading_names(segments.select("book_id", "tag", "text")), ["book_id", "name"], "left_semi").select("tbl", "row_id").distinct()
 
 
+def headings_elsewhere(edge: DataFrame, segments: DataFrame) -> DataFrame:
+    """(row_id, book_id, further): the headings that ``heads_elsewhere`` meets, for each text that holds one."""
+    tried = edge.filter(F.size("heads") > 0).select("row_id", "book_id", F.explode("heads").alias("name"))
+    met = tried.join(heading_names(segments.select("book_id", "tag", "text")), ["book_id", "name"])
+    return met.groupBy("row_id", "book_id").agg(F.sort_array(F.collect_set("heading")).alias("further"))
+
+
 def _anagram(word: Column) -> Column:
     """Sum of the characters' hashes (64-bit, wrapping): the same for every order of the characters."""
     return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise(a + F.shiftright(F.xxhash64(c), 8)))
@@ -464,6 +477,10 @@ def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repaired_text(segments: DataFrame, books: DataFrame, cleanup_log: DataFrame) -> DataFrame:
     """(tbl, row_id, clean): texts with noise, as continuous readable text."""
     edge = edge_table(segments, books, cleanup_log, keep_text=True)
+    further = small(materialize(headings_elsewhere(edge, segments), "further-headings"))
+    again = edge_table(segments, books, cleanup_log, keep_text=True, further=further)
+    others = edge.filter("tbl = 'segments'").join(further.select("row_id", "book_id"), ["row_id", "book_id"], "left_anti").select(edge.columns)
+    edge = edge.filter("tbl <> 'segments'").union(others).union(again)
     counts = materialize(word_counts(edge), "word-counts")
     fixes = materialize(misread_rows(edge, materialize(corrections(counts), "corrections")), "misread")
     fixes = fixes.groupBy("tbl", "row_id").agg(F.sort_array(F.collect_set(F.struct("word", "fixed"))).alias("fixes"))

@@ -4,7 +4,7 @@ import random
 
 import pyarrow as pa
 
-from foliomill.llm import encoding
+from foliomill.llm import encoding, scannoise
 
 PLAIN = "señor mañana café corazón jardín también después canción élève première garçon français über für schön müde casa perro maison haus tree".split()
 
@@ -43,8 +43,20 @@ def test_bytes_are_looked_up_before_lower_casing():
 def test_a_garbled_word_counts_in_a_long_text():
     odd = " ".join(f"x{a}q{b}" for a in "ďľřšťž" for b in "ąęłńśźżć")  # improbable words that no mapping betters
     clean = sentences(1500)
-    r = repairer(clean + [odd])
+    r = repairer(clean)
     bad = "garçon".encode("cp1252").decode("cp437")
     text = f"{clean[0]} {odd} {clean[1]} the {bad} tree {clean[2]} {odd}"
     assert r.candidates([text]).tolist() == [0]
     assert r.repair(text)[0] == text.replace(bad, "garçon")
+
+
+# --- 2
+
+
+def test_heads_of_other_documents_leave_the_text(spark):
+    rows = [(1, 1, 1, 1, "h1", "The Hidden Garden Gate"), (2, 1, 2, 1, "p", "he went along the river\nTHE HIDDEN GARDEN GATE | 26\nand then home"), (3, 1, 2, 2, "p", "he went home")]
+    seg = spark.createDataFrame(rows, "seg_id long, book_id long, doc_no int, seg_no int, tag string, text string")
+    books = spark.createDataFrame([(1, "Any Title Here", "A B")], "book_id long, title string, author string")
+    log = spark.createDataFrame([], "log_id long, book_id long, doc_no int, entry string")
+    assert ("segments", 2, "header") in {tuple(r) for r in scannoise.scan_noise(seg, books, log).collect()}
+    assert {r["row_id"]: r["clean"] for r in scannoise.repaired_text(seg, books, log).collect()} == {2: "he went along the river and then home"}
