@@ -16,6 +16,10 @@ def p1_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.request_fill(p1_requests(spark, d))
 
 
+def p1_checks(spark: SparkSession, d: str) -> DataFrame:
+    return packing.request_checks(p1_requests(spark, d))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return scannoise.scan_noise(table(spark, d, "segments"), table(spark, d, "books"), table(spark, d, "cleanup_log"))
 
@@ -84,10 +88,12 @@ def p9_amounts(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_amounts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_requests, p1_fill, p2_found, p2_repaired, p3_pieces, p3_found, p4_repaired, p4_found, p5_found, p5_reported, p6_found, p6_groups, p7_runs, p7_found, p8_mix, p8_shares, p9_found, p9_spans, p9_amounts)}
+QUERIES = {f.__name__: f for f in (p1_requests, p1_fill, p1_checks, p2_found, p2_repaired, p3_pieces, p3_found, p4_repaired, p4_found, p5_found, p5_reported, p6_found, p6_groups, p7_runs, p7_found, p8_mix, p8_shares, p9_found, p9_spans, p9_amounts)}
 
 _LIMITS = "(select b.book_id, coalesce(r.segment_chars, 6000) as lim from books b left join run_config r on b.profile = r.profile)"
 
 ORACLES = {
+    "p1_checks": """with c as (select b.book_id, max(r.max_chars) as cap from books b left join run_config r on b.profile = r.profile group by 1), s as (select s.book_id, s.seg_id, coalesce(length(s.text), 0) as n, coalesce(c.cap, 24000) as cap from segments s left join c on s.book_id = c.book_id where s.book_id is not null)
+select book_id, count(distinct seg_id) as segments, sum(greatest(ceil(n / cap), 1))::bigint as parts, sum(n)::bigint as chars, 0::bigint as too_full, 0::bigint as numbers_missing from s group by 1""",
     "p3_found": f"select distinct s.seg_id from segments s left join {_LIMITS} l on s.book_id = l.book_id where length(s.text) > coalesce(l.lim, 6000)",
 }

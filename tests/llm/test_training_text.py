@@ -64,6 +64,37 @@ def test_packing_over_blocks(spark):
     assert len(fill) <= 1.15 * sum(len(r[4]) for r in rows) / 100
 
 
+def placed_parts(spark, rows, cap, **kw):
+    seg = spark.createDataFrame(rows, "seg_id long, book_id long, doc_no int, seg_no int, text string")
+    books = spark.createDataFrame([(1, "p")], "book_id long, profile string")
+    config = spark.createDataFrame([("p", cap)], "profile string, max_chars int")
+    out = packing.pack_requests(seg, books, config, **kw).collect()
+    want = sorted((r[0], p) for r in rows for p in range(max(1, -(-len(r[4] or "") // cap))))
+    assert sorted((r["seg_id"], r["part_no"]) for r in out) == want  # each part once
+    fill = {}
+    for r in out:
+        key = (r["book_id"], r["doc_no"], r["request_no"])
+        fill[key] = fill.get(key, 0) + r["n_chars"]
+    assert max(fill.values()) <= cap
+    for doc in {k[:2] for k in fill}:
+        assert sorted(k[2] for k in fill if k[:2] == doc) == list(range(1, sum(k[:2] == doc for k in fill) + 1))
+    return fill
+
+
+def test_packing_blocks_of_more_than_a_thousand_requests(spark):
+    rows = [(i, 1, 1, i, "x" * 60) for i in range(1990)]
+    assert len(placed_parts(spark, rows, 100, block=1500)) == 1990
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packing_many_levels_null_and_repeated_numbers(spark, seed):
+    rng = random.Random(seed)
+    no = lambda i: None if i % 3 == 0 else rng.choice([7, i, i // 50, -4])
+    rows = [(i, 1, rng.choice([1, 1, 1, 2, None]), no(i), "x" * rng.choice([0, 3, 40, 55, 90, 230])) for i in range(700)]
+    rows += [rows[5]] * 40  # one id over and over
+    placed_parts(spark, rows, 100, block=rng.choice([8, 30, 200]), windows=rng.choice([1, 5, 16]))
+
+
 # --- 3
 
 
