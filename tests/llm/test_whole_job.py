@@ -60,3 +60,58 @@ def test_heads_of_other_documents_leave_the_text(spark):
     log = spark.createDataFrame([], "log_id long, book_id long, doc_no int, entry string")
     assert ("segments", 2, "header") in {tuple(r) for r in scannoise.scan_noise(seg, books, log).collect()}
     assert {r["row_id"]: r["clean"] for r in scannoise.repaired_text(seg, books, log).collect()} == {2: "he went along the river and then home"}
+
+
+def noise_tables(spark, rows, title="Any Title Here"):
+    seg = spark.createDataFrame(rows, "seg_id long, book_id long, doc_no int, seg_no int, tag string, text string")
+    books = spark.createDataFrame([(1, title, "A B")], "book_id long, title string, author string")
+    return seg, books, spark.createDataFrame([], "log_id long, book_id long, doc_no int, entry string")
+
+
+def headers(found):
+    return {r["row_id"] for r in found.collect() if r["kind"] == "header"}
+
+
+def test_a_one_word_title_beside_a_number(spark):
+    t = noise_tables(spark, [(1, 1, 1, 1, "p", "they came to the old stone 12 Silverdale while nobody was looking")], "Silverdale")
+    assert headers(scannoise.scan_noise(*t)) == {1}
+    assert [r["clean"] for r in scannoise.repaired_text(*t).collect()] == ["they came to the old stone while nobody was looking"]
+
+
+def test_headings_in_any_number_and_of_any_length(spark):
+    long = "The Long And Winding Account Of How The Keeper Of The Lamps Went Down To The Harbour " * 3
+    heads = [(i, 1, 1, i, "h1", f"Chapter of the Grove {i}") for i in range(300)] + [(900, 1, 7, 1, "h2", long.strip()), (901, 1, 8, 1, "h2", "Oaks")]
+    texts = ["and so they\nCHAPTER OF THE GROVE 271 | 12\nwent away", f"and so they\n{long.strip()} 14\nwent away", "and so they\nOaks 15\nwent away", "and so they\nOaken 15 trees\nwent away", "they left CHAPTER OF THE GROVE 299 and went away"]
+    t = noise_tables(spark, [*heads, *((1000 + i, 1, 2, i, "p", x) for i, x in enumerate(texts))])
+    assert headers(scannoise.scan_noise(*t)) == {1000, 1001, 1002, 1004}
+    fixed = {r["row_id"]: r["clean"] for r in scannoise.repaired_text(*t).collect()}
+    assert [fixed[1000 + i] for i in (0, 1, 2, 4)] == ["and so they went away"] * 3 + ["they left and went away"]
+
+
+def test_more_than_three_heads_in_a_line():
+    text = " and then ".join(["SILVERDALE HOUSE 12"] * 6)
+    clean, head, page = scannoise.edges(text, "p", "Silverdale House", None, ())
+    assert (clean.split(), head, page) == (["and", "then"] * 5, True, False)
+
+
+def test_a_page_number_before_a_numbered_head():
+    text = "they went beyond the Page 325 737 | The Bright Parcel barns"
+    assert scannoise.edges(text, "p", "The Bright Parcel", None, ()) == ("they went beyond the barns", True, True)
+
+
+def test_frequent_words_apart(spark):
+    edge = spark.createDataFrame([("segments", i, "the arid tbe") for i in range(50)] + [("segments", 99, "rnoon the")], "tbl string, row_id long, words string")
+    fixes = spark.createDataFrame([("tbe", "the"), ("rnoon", "moon")], "word string, fixed string")
+    counts = scannoise.word_counts(edge)
+    few, many = (sorted(map(tuple, scannoise.misread_rows(edge, fixes, counts, n).collect())) for n in (10, 1))
+    assert few == many and len(few) == 51
+
+
+def test_words_of_texts_with_and_without_odd_characters(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["Don't stop the rock’n’roll, it's 5 o'clock!", "a¢b 1e€t w|th he!lo <x1>word</x1> x", "l’été d’Anna ‘quoted’ 'tis", "Ⅷ x² ünï"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    full = df.select(scannoise.words_of(F.col("t"), F.lit(True)).alias("a"), scannoise.words_of(F.col("t"), F.lit(False)).alias("b")).collect()
+    assert [r["a"] for r in full] == ["don't stop the rock’n’roll it's 5 o'clock", "a¢b 1e€t w|th he!lo word x", "l’été d’anna quoted tis", "ⅷ x² ünï"]
+    assert all(r["a"] == r["b"] for r, t in zip(full, texts) if "¢" not in t)
