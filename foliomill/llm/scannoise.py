@@ -143,12 +143,13 @@ def _inline_head(runs: list[tuple[int, str, str]], plain: tuple[tuple[str, int],
             side = bool(x and re.search(r"[|/·\])\d]$", run[x - 1])) or bool(y < len(run) and re.match(r"[|/·(\[]|\d+\W*$", run[y]))
             if lower > 0.15 * len(core) and not side and not spaced and n_words < 3:
                 continue
-            # the marks beside a head are its own, and one number on either side
+            # the marks beside a head are its own, and one number on either side, which may be spaced like the head
+            digit = lambda k: spaced and 0 <= k < len(run) and len(run[k]) == 1 and run[k].isdigit()
             numbers = 0
-            while x and re.fullmatch(r"[\W\d]+", run[x - 1]) and (numbers := numbers + any(c.isdigit() for c in run[x - 1])) < 2:
+            while x and re.fullmatch(r"[\W\d]+", run[x - 1]) and (numbers := numbers + (any(c.isdigit() for c in run[x - 1]) and not (digit(x - 1) and digit(x)))) < 2:
                 x -= 1
             numbers = 0
-            while y < len(run) and re.fullmatch(r"[|/·—()\[\]\d]+", run[y]) and (numbers := numbers + any(c.isdigit() for c in run[y])) < 2:
+            while y < len(run) and re.fullmatch(r"[|/·—()\[\]\d]+", run[y]) and (numbers := numbers + (any(c.isdigit() for c in run[y]) and not (digit(y) and digit(y - 1)))) < 2:
                 y += 1
             return start + tokens[x][0], start + tokens[y - 1][1]
     return None

@@ -115,3 +115,8 @@ def test_words_of_texts_with_and_without_odd_characters(spark):
     full = df.select(scannoise.words_of(F.col("t"), F.lit(True)).alias("a"), scannoise.words_of(F.col("t"), F.lit(False)).alias("b")).collect()
     assert [r["a"] for r in full] == ["don't stop the rock’n’roll it's 5 o'clock", "a¢b 1e€t w|th he!lo word x", "l’été d’anna quoted tis", "ⅷ x² ünï"]
     assert all(r["a"] == r["b"] for r, t in zip(full, texts) if "¢" not in t)
+
+
+def test_a_spaced_number_before_a_spaced_head():
+    text = "the trudley dof- (764) 7 5 9 H I S B U T C H E R eued a nabayr"
+    assert scannoise.edges(text, "p", "His Butcher", None, ()) == ("the trudley dof- eued a nabayr", True, True)
