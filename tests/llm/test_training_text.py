@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -108,6 +109,51 @@ def test_pieces_cover_the_text(text, limit, overlap):
     assert all(b - a == min(o, b) for a, b, _, _ in out[1:])
 
 
+def bodies_of(text, limit, overlap=0):
+    return [text[b:c] for _, b, c, _ in splitting.pieces(text, limit, overlap)]
+
+
+def test_a_heading_never_ends_a_piece():
+    para = "Alpha beta gamma delta epsilon zeta eta theta. " * 9
+    text = "".join(f"# Head {i}\n\n{para}\n\n## Sub {i}\n\n{para}\n\n" for i in range(4))
+    out = bodies_of(text, 600)
+    assert "".join(out) == text and max(map(len, out)) <= 600
+    assert not any(re.search(r"#+ \w+ \d\s*$", p) for p in out)
+    assert all(p.startswith("#") for p in out)  # every section fits
+    assert all(not p.rstrip().split("\n")[-1].startswith("#") for p in bodies_of(text, 120))
+
+
+def test_siblings_are_merged_and_only_large_nodes_opened():
+    small, large = "One two three four. ", "Word " * 60 + "end. "
+    text = f"{small * 4}\n\n{small * 3}\n\n{large * 4}\n\n{small * 2}\n\n{small}"
+    out = bodies_of(text, 400)
+    assert out[0] == f"{small * 4}\n\n{small * 3}\n\n" and out[-1] == f"{small * 2}\n\n{small}"
+    assert [p for p in out if p.startswith("Word")] == out[1:-1] and "".join(out) == text
+
+
+def test_pairs_that_fit_are_never_cut():
+    inner = "Alpha beta gamma delta. Epsilon zeta eta. " * 4
+    text = f"<x1>{inner}</x1> <x2>{inner * 6}</x2> and <x3>short one</x3>. " * 2
+    out = bodies_of(text, 260)
+    assert "".join(out) == text and max(map(len, out)) <= 260
+    for k in ("1", "3"):
+        assert all(p.count(f"<x{k}>") == p.count(f"</x{k}>") for p in out)
+    assert all(re.search(r"(\.|>|\s)\s*$", p) for p in out)
+
+
+def test_lists_own_their_items():
+    text = "Intro line here.\n" + "".join(f"- item {i} with some text\n  - inner {i} a\n  - inner {i} b\n" for i in range(12))
+    out = bodies_of(text, 150)
+    assert all(p.startswith(("- item", "Intro")) for p in out) and "".join(out) == text
+
+
+def test_deep_and_long_texts_stay_linear():
+    deep = "".join(f"<x{i}>a " for i in range(3000)) + "".join(f"</x{i}> " for i in reversed(range(3000)))
+    assert "".join(bodies_of(deep, 200)) == deep
+    long = "<x1>b</x1> word. " * 60_000
+    assert "".join(bodies_of(long, 1500)) == long
+
+
 def test_pieces_end_at_sentences():
     text = "One short sentence here. " * 20
     assert {kind for *_, kind in splitting.pieces(text, 120, 20)} <= {"sentence", "end"}
