@@ -25,8 +25,15 @@ INITIAL = "(?:^|[.!?¿¡…:;«»“”\"‘’'()\\[\\]•—–-])[ \t\n\r\f]*
 #: Terms of a book's list, and terms asked for at a time.
 TERMS, BATCH = 300, 150
 
-_WORD = r"[A-Z][A-Za-z'’\-]*[A-Za-z]"
-_TERM = re.compile(rf"{_WORD}(?:(?:\s+(?:of|from|the|de|del|la)){{0,2}}\s+{_WORD})*")
+# What a name's words look like, the small words that may join two of them, endings that are no name's.
+NAME_WORD = r"[A-Z][A-Za-z'’\-]*[A-Za-z]"
+JOINERS = "of|from|the|de|del|la"
+POSSESSIVE, SHORT_FORM = r"['’]s$", r"(?i)['’](?:m|d|ll|ve|re|t|s)$"
+#: Joiners between two words of a name, at most; characters shown around an example.
+MOST_JOINERS, AROUND = 2, 70
+
+_NAME_WORD = re.compile(NAME_WORD)
+_JOINED = re.compile(rf"(?:\s+(?:{JOINERS})){{0,{MOST_JOINERS}}}\s+")
 _INITIAL = re.compile(INITIAL)
 
 
@@ -35,25 +42,39 @@ def sentence_initial(text: str, at: int) -> bool:
     return bool(_INITIAL.search(text[max(0, at - 4) : at]))
 
 
+def _is_weak(word: str) -> bool:
+    return word in STOPWORDS or word[0].islower()
+
+
 def term_uses(text: str) -> list[tuple[str, bool, str, int]]:
-    """(term, inside a sentence, example, position) of the capitalised word sequences of a text."""
+    """(term, inside a sentence, example, position) of the names of a text.
+
+    Capitalised words are found one by one; where only joiners stand between
+    two of them, they are linked; each chain, without weak words at its ends,
+    is a name.
+    """
+    spans = [m.span() for m in _NAME_WORD.finditer(text)]
+    linked = [_JOINED.fullmatch(text, a[1], b[0]) is not None for a, b in zip(spans, spans[1:])]
     out = []
-    for m in _TERM.finditer(text):
-        words = re.sub(r"['’]s$", "", m[0]).split()
-        if not words or re.search(r"(?i)['’](?:m|d|ll|ve|re|t|s)$", words[-1]):
-            continue
-        weak = [w in STOPWORDS or w[0].islower() for w in words]
-        if all(weak):
+    for first, last in _chains(linked, len(spans)):
+        whole = text[spans[first][0] : spans[last][1]]
+        words = re.sub(POSSESSIVE, "", whole).split()
+        strong = [i for i, w in enumerate(words) if not _is_weak(w)]
+        if not strong or re.search(SHORT_FORM, words[-1]):
             continue
-        first, last = weak.index(False), len(weak) - weak[::-1].index(False)
-        term = " ".join(words[first:last])
-        if len(term) < 2 or term in STOPWORDS:
-            continue
-        at = m.start() + m[0].find(words[first])
-        out.append((term, not sentence_initial(text, at), " ".join(text[max(0, at - 70) : at + len(term) + 70].split()), at))
+        term = " ".join(words[strong[0] : strong[-1] + 1])
+        if len(term) > 1:
+            at = spans[first][0] + whole.find(words[strong[0]])
+            out.append((term, not sentence_initial(text, at), " ".join(text[max(0, at - AROUND) : at + len(term) + AROUND].split()), at))
     return out
 
 
+def _chains(linked: list[bool], n: int) -> Iterator[tuple[int, int]]:
+    """(first, last) of the maximal stretches of 0..n-1 whose neighbours are linked."""
+    breaks = [i for i, x in enumerate(linked) if not x]
+    yield from zip([0, *(i + 1 for i in breaks)], [*breaks, n - 1]) if n else ()
+
+
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("book_id", pa.int64()), ("doc_no", pa.int32()), ("seg_no", pa.int32()), ("at", pa.int32()), ("term", pa.string()), ("mid", pa.bool_()), ("example", pa.string())])
     for batch in batches:
@@ -133,16 +154,28 @@ def bounded(term: Column) -> Column:
     return F.concat(F.lit(r"(?<![\p{L}\p{N}_'’])"), F.replace(body, F.lit("'"), F.lit("['’]")), F.lit(r"(?![\p{L}\p{N}_])"))
 
 
+_PLAIN_WORD = r"[\p{L}\p{N}_]+"
+
+
+def _rule_words(text: Column) -> Column:
+    """The words of a text, each as a rule's first word: with an apostrophe where one stands before it."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}_])['’]?{_PLAIN_WORD}|(?<=[\p{{L}}\p{{N}}_])['’]{_PLAIN_WORD}"), F.lit(0)), lambda w: F.replace(w, F.lit("’"), F.lit("'"))))
+
+
 def relevant_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """(rows' columns, source, renderings, line, ord): the rules whose term stands in ``body``.
 
-    The theta join is an equi-join on the term's first word, then the whole
-    term is tested; its plan has no nested loop.
+    The theta join is an equi-join on the term's first word, without the texts:
+    only ``seg_id`` and words are exploded.  A term of one word is met by that;
+    longer ones are tested in the text, which is fetched for the hits alone.
+    ``seg_id`` is unique in ``rows``; a rule without letter or digit meets nothing.
     """
-    word = r"[\p{L}\p{N}_]+"
-    first = rules.withColumn("w", F.regexp_extract("source", word, 0))
-    words = rows.withColumn("w", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(word), F.lit(0)))))
-    return words.join(first, ["book_id", "w"]).drop("w").filter(F.regexp_like(F.col("body"), bounded(F.col("source"))))
+    first = rules.withColumn("w", F.replace(F.regexp_extract("source", rf"['’]?{_PLAIN_WORD}", 0), F.lit("’"), F.lit("'"))).filter("w <> ''")
+    words = rows.select("seg_id", "book_id", F.explode(_rule_words(F.col("body"))).alias("w"))
+    hits = words.join(first, ["book_id", "w"]).drop("book_id", "w")
+    own = F.replace(F.col("source"), F.lit("’"), F.lit("'"))
+    holds = F.contains(F.replace(F.col("body"), F.lit("’"), F.lit("'")), own) & F.regexp_like(F.col("body"), bounded(F.col("source")))
+    return rows.join(hits, "seg_id").filter(F.when(F.col("source").rlike(rf"^{_PLAIN_WORD}$"), True).otherwise(holds)).select(*rows.columns, "source", "renderings", "line", "ord")
 
 
 def rule_blocks(relevant: DataFrame) -> DataFrame:
@@ -150,50 +183,45 @@ def rule_blocks(relevant: DataFrame) -> DataFrame:
     return relevant.groupBy("seg_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("block"))
 
 
-def _pattern(term: str) -> re.Pattern:
-    return re.compile(r"(?<![\w'’])" + re.escape(term.replace("’", "'")).replace("'", "['’]") + r"(?!\w)")
+# A place after a sentence's end or at the start, by the four characters before it; no longer than a lookbehind may be.
+_AFTER_END = "(?<=(?:^|[.!?¿¡…:;«»“”\"‘’'()\\[\\]•—–-])[ \t\n\r\f]{0,3}|[ \t\n\r\f]{4})"
+
 
+def _uses(text: Column, word: Column, initial: bool = False) -> Column:
+    """How often a word stands in a text; the costly pattern only where the word occurs at all."""
+    pattern = F.concat(F.lit(_AFTER_END), bounded(word)) if initial else bounded(word)
+    same = lambda c: F.replace(c, F.lit("’"), F.lit("'"))
+    return F.when(F.contains(same(text), same(word)), F.regexp_count(text, pattern)).otherwise(0)
 
-def rule_breaks(source: str, translation: str, term: str, renderings: list[str]) -> list[str]:
-    """How a translation breaks one rule.
+
+def rule_problems(body: Column, translation: Column, term: Column, renderings: Column) -> Column:
+    """How a translation breaks one rule: an array of messages, from counts in both texts.
 
     A rendering in small letters may be capitalised only where a sentence
     starts; one with a capital is expected with it, unless small forms can be
     ordinary words (there are more of both than uses in the source).
     """
-    uses, found, cases = len(_pattern(term).findall(source)), False, []
-    for r in renderings:
-        right = len(_pattern(r).findall(translation))
-        found |= right > 0
-        if len(r) < 2 or r.lower() == r.upper():
-            continue
-        small = r[0].islower()
-        other = (r[0].upper() if small else r[0].lower()) + r[1:]
-        places = [m.start() for m in _pattern(other).finditer(translation)]
-        if small:
-            fine = [sentence_initial(translation, p) for p in places]
-            found |= any(fine)
-            wrong = not all(fine)
-        else:
-            wrong = 0 < len(places) <= uses - right
-        if wrong:
-            cases.append(f"{term}: '{other}' should be '{r}'")
-    if cases:
-        return cases
-    return [] if found else [f"{term}: expected {' | '.join(renderings)}"]
 
+    def counted(r: Column) -> Column:
+        head = F.left(r, F.lit(1))
+        small = (head == F.lower(head)) & (head != F.upper(head))
+        other = F.concat(F.when(small, F.upper(head)).otherwise(F.lower(head)), F.substring(r, 2, 1 << 30))
+        cased = (F.length(r) > 1) & (F.lower(r) != F.upper(r))
+        return F.struct(r.alias("r"), other.alias("other"), _uses(translation, r).alias("right"), (cased & small).alias("small"), (cased & ~small).alias("capital"), F.when(cased, _uses(translation, other)).otherwise(0).alias("swapped"), F.when(cased & small, _uses(translation, other, True)).otherwise(0).alias("initial"))
 
-def violations(pairs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(seg_id, source, problem) of (seg_id, book_id, body, translation) pairs and their relevant rules."""
-    schema = pa.schema([("seg_id", pa.int64()), ("source", pa.string()), ("problem", pa.string())])
+    def judged(cases: Column) -> Column:
+        wrong = lambda c: (c["small"] & (c["swapped"] > c["initial"])) | (c["capital"] & (c["swapped"] > 0) & (c["swapped"] + c["right"] <= _uses(body, term)))
+        bad = F.transform(F.filter(cases, wrong), lambda c: F.concat(term, F.lit(": '"), c["other"], F.lit("' should be '"), c["r"], F.lit("'")))
+        met = F.exists(cases, lambda c: (c["right"] > 0) | (c["initial"] > 0))
+        return F.when(F.size(bad) > 0, bad).when(met, F.array().cast("array<string>")).otherwise(F.array(F.concat(term, F.lit(": expected "), F.array_join(renderings, " | "))))
+
+    return T.let(F.transform(renderings, counted), judged)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, t, p) for i, body, tr, t, rs in zip(*(c.to_pylist() for c in batch.columns)) for p in rule_breaks(body, tr, t, rs)]
-            cols = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
-    return relevant_rules(pairs, rules).select("seg_id", "body", "translation", "source", "renderings").mapInArrow(run, "seg_id long, source string, problem string")
+def violations(pairs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(seg_id, source, problem) of (seg_id, book_id, body, translation) pairs and their relevant rules."""
+    problems = rule_problems(F.col("body"), F.col("translation"), F.col("source"), F.col("renderings"))
+    return relevant_rules(pairs, rules).select("seg_id", "source", F.explode(problems).alias("problem"))
 
 
 def missing_names(pairs: DataFrame, rules: DataFrame) -> DataFrame:

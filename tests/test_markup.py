@@ -42,10 +42,12 @@ def test_damaged_translation():
 
 def test_bilingual():
     root = parse(b'<html><body><p id="k" class="c">one <a href="x" class="l">two</a></p><ul><li>three</li></ul></body></html>')
-    for s in M.extract_segments(root):
+    segs = M.extract_segments(root)
+    above = M.parents(root)
+    for s in segs:
         source = s.text
         M.apply_translation(s, source.upper().replace("X1", "x1"))
-        M.add_original(root, s, source)
+        M.add_original(above, s, source)
     M.unwrap_runs(root)
     out = M.serialize(root)
     assert '<p class="c" style="opacity:0.7">one <span class="l">two</span></p><p id="k" class="c">ONE <a href="x" class="l">TWO</a></p>' in out

@@ -129,8 +129,24 @@ def test_term_candidates(spark):
         ("X Y", "nada", "X", ["a", "b"], ["X: expected a | b"]),
     ],
 )
-def test_rule_breaks(source, translation, term, renderings, want):
-    assert glossary.rule_breaks(source, translation, term, renderings) == want
+def test_rule_breaks(spark, source, translation, term, renderings, want):
+    pairs = spark.createDataFrame([(1, 1, source, translation)], "seg_id long, book_id long, body string, translation string")
+    rules = spark.createDataFrame([(1, term, renderings, "x", 0)], "book_id long, source string, renderings array<string>, line string, ord int")
+    assert [r["problem"] for r in glossary.violations(pairs, rules).collect()] == want
+
+
+def test_apostrophes_before_terms(spark):
+    rows = spark.createDataFrame([(1, 1, "he saw 'Tis and O’Brien"), (2, 1, "l'Tis, Tis"), (3, 1, "OBrien Brien")], "seg_id long, book_id long, body string")
+    rules = spark.createDataFrame([(1, t, ["x"], t, i) for i, t in enumerate(["Tis", "'Tis", "Brien", "O'Brien", "&"])], "book_id long, source string, renderings array<string>, line string, ord int")
+    assert sorted((r["seg_id"], r["source"]) for r in glossary.relevant_rules(rows, rules).collect()) == [(1, "'Tis"), (1, "O'Brien"), (2, "Tis"), (3, "Brien")]
+
+
+def test_relevant_rules_explode_no_texts(spark):
+    rows = spark.createDataFrame([(1, 1, "the Gray Tiger's den")], "seg_id long, book_id long, body string")
+    rules = spark.createDataFrame([(1, "Gray Tiger", ["Tigre"], "l", 0)], "book_id long, source string, renderings array<string>, line string, ord int")
+    plan = glossary.relevant_rules(rows, rules)._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(line for line in plan.split("\n") if "Generate explode" in line)
+    assert generate.split("], ")[-2 if generate.count("], ") > 1 else -1].count("body") == 0
 
 
 def test_rules(spark):

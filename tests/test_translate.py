@@ -40,6 +40,18 @@ def test_long_blocked_item_goes_in_parts():
     assert "FINE" in got and "bad" in got and len(got) == len(text.strip())
 
 
+def test_terms_go_with_the_requests_they_stand_in():
+    asked = []
+
+    def call(prompt):
+        asked.append(prompt)
+        return R.echo(prompt) if "Tom" not in prompt or "[[2]]" not in prompt else "[[2]] x"
+
+    terms = [R.Term("Tom", "Tom = Tomás"), R.Term("Ann", "Ann = Ana")]
+    assert R.translate_items(call, [(1, "Tom came"), (2, "Ann left")], terms, "SOURCE: a\nTRANSLATION: b") == {1: "Tom came", 2: "x"}
+    assert asked[0].startswith("GLOSSARY:\nTom = Tomás\nAnn = Ana\n\nPREVIOUS") and asked[1].startswith("GLOSSARY:\nTom = Tomás\n\nPREVIOUS")
+
+
 def test_cascade():
     def busy(prompt):
         raise R.Unavailable
