@@ -5,8 +5,12 @@ at most one defect, tested in this order:
 
 ``empty``       nothing visible once placeholders, markers and invisible
                 characters are gone;
-``refusal``     the response's words align (longest common subsequence) with a
-                refusal template, or stand nearly all in the templates' words;
+``refusal``     a sentence of the response aligns (longest common subsequence)
+                with a refusal template and holds little else; it stands at
+                the beginning, whatever follows, or makes up half of the
+                response.  Templates that don't speak of the task ("I can't
+                help with that") must make up nearly all of it.  Templates
+                cover the eight languages of ``TEMPLATES``;
 ``copy``        prompt and response share nearly all word shingles and have a
                 longest common subsequence of nearly the prompt's length;
 ``wrong_lang``  a character-trigram classifier prefers another language;
@@ -73,6 +77,7 @@ _HIDDEN = re.compile("</?x\\d+\\s*/?>|\\[\\[[^\\[\\]]*\\]\\]|[\x00-\x08\x0b-\x1f
 _BREAK = re.compile(r"(?<=[^\W\d_])[-‐¬\xad]\s+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 _STOP = re.compile(r"(?<![.!?…．！？])[.!?…．！？]++[\"'”“»«’)\]]*+(?=\s|$)")
+_SENTENCE = re.compile(r"(?<=[.!?…．！？])[\"'”“»«’)\]]*\s+")
 _ENDS = re.compile(r"[.!?…．！？][\"'”“»«’)\]]*$")
 
 
@@ -85,8 +90,14 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-_ALIGNED = [(lang, words(t)) for lang, ts in TEMPLATES.items() for t in ts]
 _VOCABULARY = {lang: frozenset(w for t in ts for w in words(t)) | frozenset(words(APOLOGIES[lang])) for lang, ts in TEMPLATES.items()}
+# Templates that say nothing of a text or request, so that a person in a story may say them.
+GENERAL = {"i must decline", "i can't help with that", "ist es mir nicht möglich dabei zu helfen", "nie jestem w stanie pomóc w tej sprawie"}
+_ALIGNED = [(lang, words(t), t in GENERAL) for lang, ts in TEMPLATES.items() for t in ts]
+_TEMPLATES_OF: dict[str, list[int]] = {}
+for _i, (_, _template, _) in enumerate(_ALIGNED):
+    for _w in set(_template):
+        _TEMPLATES_OF.setdefault(_w, []).append(_i)
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -101,19 +112,38 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def is_refusal(answer: list[str]) -> bool:
-    """Whether a response is a refusal: a template runs through it and little else is there."""
-    if not 2 < len(answer) <= 40:
+#: Share of a template's words that must align; share of its sentence, or of the whole response, in a template's and apology's words.
+ALIGNED, OF_SENTENCE, OF_ANSWER = 0.75, 0.6, 0.8
+
+
+def _refuses(said: list[str]) -> str | None:
+    """Whether a sentence is a refusal: "task" if it speaks of the task, else "general"."""
+    met: dict[int, int] = {}
+    for w in set(said):
+        for i in _TEMPLATES_OF.get(w, ()):
+            met[i] = met.get(i, 0) + 1
+    found = None
+    for i, n in met.items():
+        lang, template, general = _ALIGNED[i]
+        if n < ALIGNED * len(set(template)) or (found and general):
+            continue
+        known = sum(w in _VOCABULARY[lang] for w in said)
+        if known >= OF_SENTENCE * len(said) and lcs(template, said) >= ALIGNED * len(template):
+            found = "general" if general else "task"
+    return found
+
+
+def is_refusal(answer: str) -> bool:
+    """Whether a response, as a reader sees it, is a refusal."""
+    sentences = [w for x in _SENTENCE.split(answer) if (w := words(x))]
+    whole = [w for s in sentences for w in s]
+    if len(whole) < 3:
         return False
-    for lang, vocabulary in _VOCABULARY.items():
-        known = sum(w in vocabulary for w in answer)
-        if known >= 0.8 * len(answer):
-            for name, template in _ALIGNED:
-                if name == lang and lcs(template, answer) >= 0.75 * len(template):
-                    return True
-            if known == len(answer) > 4:
-                return True
-    return False
+    if _refuses(whole) and any(sum(w in v for w in whole) >= OF_ANSWER * len(whole) for v in _VOCABULARY.values()):
+        return True
+    tasks = [_refuses(s) == "task" for s in sentences]
+    # an apology may be a sentence of its own
+    return any(tasks[:2]) or sum(len(s) for s, task in zip(sentences, tasks) if task) >= len(whole) / 2
 
 
 def is_copy(prompt: list[str], answer: list[str]) -> bool:
@@ -212,14 +242,14 @@ def judge(prompts: list[str], answers: list[str | None], targets: list[str | Non
         if not answer:
             out.append("empty")
             continue
-        said = words(answer)
-        if is_refusal(said):
+        if is_refusal(answer):
             out.append("refusal")
             continue
+        said = words(answer)
         source = visible(prompt)
         asked = words(source)
         tight, other = "".join(asked), "".join(said)
-        common = asked and sum(w in said for w in asked[:12]) >= 0.6 * min(12, len(asked))
+        common = len(set(asked) & set(said)) >= 0.6 * len(set(asked)) > 0
         if tight and other.endswith(tight) and len(other) - len(tight) <= LABEL or common and is_copy(asked, said):
             out.append("copy" if sum(c.isalpha() for c in source) > COPY_LETTERS else None)
             continue
