@@ -83,11 +83,23 @@ def look_alike_members(digests: DataFrame) -> DataFrame:
 
 
 def look_alike_pairs(segments: DataFrame) -> DataFrame:
-    """(seg_a, seg_b): texts that look the same and are not equal."""
+    """(seg_a, seg_b): texts that look the same and are not equal.
+
+    Different texts of one skeleton are paired first, each text once however
+    many rows hold it; then the pairs are given their rows on either side.  So
+    rows of one text never meet each other, and no more rows are made than the
+    result has.
+    """
     members = materialize(look_alike_members(materialize(with_skeleton(segments), "skeletons")), "lookalike-members")
-    a = members.select("s1", "s2", F.col("seg_id").alias("seg_a"), F.col("t1").alias("a1"), F.col("t2").alias("a2"))
-    b = members.select("s1", "s2", F.col("seg_id").alias("seg_b"), F.col("t1").alias("b1"), F.col("t2").alias("b2"))
-    return a.join(b, ["s1", "s2"]).filter("seg_a < seg_b and (a1 <> b1 or a2 <> b2)").select("seg_a", "seg_b").distinct()
+    texts = materialize(members.select("s1", "s2", "t1", "t2").distinct(), "lookalike-texts")
+    one = texts.select("s1", "s2", F.col("t1").alias("a1"), F.col("t2").alias("a2"))
+    other = texts.select("s1", "s2", F.col("t1").alias("b1"), F.col("t2").alias("b2"))
+    twos = one.join(other, ["s1", "s2"]).filter(F.struct("a1", "a2") < F.struct("b1", "b2")).select("a1", "a2", "b1", "b2")
+    twos = small(materialize(twos, "lookalike-twos"))
+    rows = members.select("seg_id", "t1", "t2").distinct()
+    left = rows.select(F.col("seg_id").alias("x"), F.col("t1").alias("a1"), F.col("t2").alias("a2")).join(twos, ["a1", "a2"]).select("x", "b1", "b2")
+    both = left.join(rows.select(F.col("seg_id").alias("y"), F.col("t1").alias("b1"), F.col("t2").alias("b2")), ["b1", "b2"]).filter("x <> y")
+    return both.select(F.least("x", "y").alias("seg_a"), F.greatest("x", "y").alias("seg_b")).distinct()
 
 
 def look_alike_groups(segments: DataFrame) -> DataFrame:
