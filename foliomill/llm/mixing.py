@@ -4,8 +4,11 @@ Each source's documents are put in a pseudorandom order and their tokens
 packed into one stream, cut into blocks of ``BLOCK`` tokens.  The mix is the
 largest one the repeat caps allow: as many block slots as the scarcest source
 can fill.  Slots are spread over output shards by multinomial draws of source
-counts from what is still to be placed, so the counts vary from shard to shard
-and the totals are met exactly.  Slot j of a source is in pass ``j // blocks``
+counts: the shards are halved again and again, and at each node of that tree
+the left half draws its counts from what the node has to place, seeded by the
+node.  So the counts vary from shard to shard, the totals are met exactly, and
+a task finds the counts of its shards by walking down from the root: the
+driver holds nothing but a row per source.  Slot j of a source is in pass ``j // blocks``
 and shows block ``permutation(j % blocks)``, a pseudorandom index permutation
 of its own for each source and pass; no block, and so no document, is shown
 more than ``max_repeats`` times.  Slots and blocks are joined by index.
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from foliomill.plans.runtime import materialize
 
-#: Rank file of a public byte-level tokenizer.
+#: Rank file of a public byte-level tokenizer, where the session has no ``foliomill.tokenizer``.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of that file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -48,12 +51,13 @@ def _tokenizer(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, source, n_tokens) of every document with text."""
+    path = tokenizer or documents.sparkSession.conf.get("foliomill.tokenizer", TOKENIZER)
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(tokenizer).encode_ordinary
+        encode = _tokenizer(path).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(n, pa.int64())], schema=schema)
@@ -80,17 +84,28 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(slots: list[int], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> list[list[int]]:
-    """Slots of each source in each shard, drawn from what is still to be placed."""
-    rng, left, out = np.random.default_rng(seed), np.array(slots, np.int64), []
-    while left.sum():
-        size = min(shard_slots, int(left.sum()))
-        got = np.zeros_like(left)
-        while size:
-            more = np.minimum(rng.multinomial(size, left / left.sum()), left)
-            got, left, size = got + more, left - more, size - int(more.sum())
-        out.append(got.tolist())
-    return out
+def _drawn(left: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """``size`` slots drawn from those left of each source; a source that runs out leaves its draws to the others."""
+    got = np.zeros_like(left)
+    while size:
+        more = np.minimum(rng.multinomial(size, left / left.sum()), left)
+        got, left, size = got + more, left - more, size - int(more.sum())
+    return got
+
+
+def shard_counts(slots: list[int], shard: int, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of each source in a shard, slots of each source in the shards before it)."""
+    left = np.array(slots, np.int64)
+    before = np.zeros_like(left)
+    low, high = 0, -(-int(left.sum()) // shard_slots)
+    while high - low > 1:
+        middle = (low + high) // 2
+        got = _drawn(left, (middle - low) * shard_slots, np.random.default_rng((seed, low, high)))
+        if shard < middle:
+            left, high = got, middle
+        else:
+            left, before, low = left - got, before + got, middle
+    return left, before
 
 
 def plan(blocks: dict[str, int], targets: list[tuple[str, float, int]]) -> dict[str, int]:
@@ -123,44 +138,31 @@ def _stream(tokens: DataFrame) -> DataFrame:
     return rows.join(sums, ["source", "bucket"]).select("doc_id", "source", "n_tokens", (F.col("base") + F.col("inside")).alias("start"))
 
 
-def _slots(shards: DataFrame) -> DataFrame:
-    """(source, block, shard) of every slot of (shard, source, number, blocks, first, n) rows."""
-    schema = pa.schema([("source", pa.string()), ("block", pa.int64()), ("shard", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, source, number, blocks, first, n in zip(*(c.to_pylist() for c in batch.columns)):
-                j = np.arange(first, first + n)
-                index = np.empty(n, np.int64)
-                for turn in np.unique(j // blocks).tolist():
-                    own = j // blocks == turn
-                    index[own] = permuted(j[own] % blocks, blocks, number * 1000 + turn + SEED)
-                yield pa.RecordBatch.from_arrays([pa.array([source] * n), pa.array(index), pa.array(np.full(n, shard))], schema=schema)
-
-    return shards.select("shard", "source", "number", "blocks", "first", "n").mapInArrow(run, "source string, block long, shard long")
-
-
 def mix_slots(tokens: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(source, block, shard): which block stands in which output shard, a row per slot.
-
-    The driver holds a row per source and per shard, as many as ``targets`` and the shard size make.
-    """
+    """(source, block, shard): which block stands in which output shard, a row per slot."""
     spark = tokens.sparkSession
     sizes = {r["source"]: -(-r["t"] // block) for r in tokens.groupBy("source").agg(F.sum("n_tokens").alias("t")).join(targets.select("source"), "source", "left_semi").collect() if r["source"] is not None}
     goal = [(r["source"], r["w"], r["c"]) for r in targets.filter("source is not null").groupBy("source").agg(F.sum("target_share").alias("w"), F.min("max_repeats").alias("c")).orderBy("source").collect()]
     slots = plan(sizes, goal)
     names = sorted(slots)
-    first, rows = [0] * len(names), []
-    for shard, counts in enumerate(shard_counts([slots[s] for s in names])):
-        for k, n in enumerate(counts):
-            if n:
-                rows.append((shard, names[k], k, sizes[names[k]], first[k], n))
-                first[k] += n
-    shards = spark.createDataFrame(rows, "shard long, source string, number int, blocks long, first long, n long")
-    return _slots(shards.repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism))) if rows else shards)
+    counts, blocks = [slots[s] for s in names], [sizes[s] for s in names]
+    schema = pa.schema([("source", pa.string()), ("block", pa.int64()), ("shard", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                own, before = shard_counts(counts, shard)
+                for k, n in enumerate(own.tolist()):
+                    j = np.arange(before[k], before[k] + n)
+                    turn, index = j // blocks[k], np.empty(n, np.int64)
+                    for t in np.unique(turn).tolist():
+                        index[turn == t] = permuted(j[turn == t] % blocks[k], blocks[k], k * 1000 + t + SEED)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[k]] * n, pa.string()), pa.array(index), pa.array(np.full(n, shard, np.int64))], schema=schema)
+
+    return spark.range(-(-sum(counts) // SHARD_SLOTS)).mapInArrow(run, "source string, block long, shard long")
 
 
-def mix_documents(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK) -> DataFrame:
+def mix_documents(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None, block: int = BLOCK) -> DataFrame:
     """(doc_id, source, n_tokens, repeats, used_tokens): chosen documents.
 
     ``repeats`` is how often the most shown part of the document is used,
@@ -180,7 +182,7 @@ def _used(tokens: DataFrame, targets: DataFrame, block: int) -> DataFrame:
     return used.groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens"), F.max("draws").cast("int").alias("repeats"), F.sum(F.col("size") * F.col("draws")).alias("used_tokens"))
 
 
-def mix_shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK) -> DataFrame:
+def mix_shares(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None, block: int = BLOCK) -> DataFrame:
     """(source, target_share, max_repeats, available_tokens, used_tokens, actual_share, repeats): one row per target."""
     tokens = materialize(token_counts(documents, tokenizer).filter("n_tokens > 0 and source is not null"), "tokens")
     have = tokens.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))

@@ -340,9 +340,12 @@ def test_permutation(n, key):
 
 
 def test_shard_counts():
-    shards = mixing.shard_counts([500, 300, 7], 100)
-    assert [sum(c) for c in zip(*shards)] == [500, 300, 7] and all(sum(s) == 100 for s in shards[:-1])
-    assert len({tuple(s) for s in shards}) > 1
+    slots = [500, 300, 7]
+    shards = [mixing.shard_counts(slots, k, 100) for k in range(9)]
+    own, before = [o.tolist() for o, _ in shards], [b.tolist() for _, b in shards]
+    assert [sum(x) for x in zip(*own)] == slots and [sum(o) for o in own] == [100] * 8 + [7]
+    assert before == [[sum(x) for x in zip([0, 0, 0], *own[:k])] for k in range(9)]
+    assert len({tuple(o) for o in own}) > 4 and min(map(min, own)) >= 0
 
 
 def test_mix(spark):

@@ -4,7 +4,7 @@ import random
 
 import pyarrow as pa
 
-from foliomill.llm import encoding, scannoise
+from foliomill.llm import confusables, encoding, mixing, pairs, scannoise
 
 PLAIN = "señor mañana café corazón jardín también después canción élève première garçon français über für schön müde casa perro maison haus tree".split()
 
@@ -120,3 +120,44 @@ def test_words_of_texts_with_and_without_odd_characters(spark):
 def test_a_spaced_number_before_a_spaced_head():
     text = "the trudley dof- (764) 7 5 9 H I S B U T C H E R eued a nabayr"
     assert scannoise.edges(text, "p", "His Butcher", None, ()) == ("the trudley dof- eued a nabayr", True, True)
+
+
+# --- 5
+
+
+def test_refusals_of_any_length():
+    long = "I'm sorry, but I can't translate this passage. " + "It seems to come from a published novel, and such books are usually protected, so a full version would not be right here. If you like, a short overview of the plot or a note on its style could be written instead, and questions about single words are welcome at any time as well, of course."
+    assert len(pairs.words(long)) > 55 and pairs.is_refusal(long)
+    assert pairs.is_refusal("Es tut mir leid. Ich kann diesen Abschnitt nicht übersetzen.")
+    assert not pairs.is_refusal("the text to this request with my passage content")
+    assert not pairs.is_refusal("“I can't help with that,” said the keeper, and the old miller went home over the bridge. Nobody saw him again.")
+
+
+def test_a_copy_with_another_beginning():
+    words = [f"word{i}" for i in range(200)]
+    model = pairs.Languages([], pairs.np.zeros((pairs.BUCKETS, 0), pairs.np.float32))
+    prompt, answer = " ".join(words), " ".join([f"other{i}" for i in range(12)] + words[12:])
+    assert pairs.judge([prompt], [answer], ["en"], model) == ["copy"]
+
+
+# --- 6
+
+
+def test_a_hot_text_meets_its_variant_only(spark):
+    rows = [(i, "same text") for i in range(300)] + [(900, "sаme text"), (901, "same\u00a0text")]
+    seg = spark.createDataFrame(rows, "seg_id long, text string")
+    got = {tuple(r) for r in confusables.look_alike_pairs(seg).collect()}
+    assert got == {(i, k) for i in range(300) for k in (900, 901)} | {(900, 901)}
+
+
+# --- 8
+
+
+def test_the_driver_holds_a_row_per_source(spark):
+    tokens = spark.range(60_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'a', 'b') as source", "512L as n_tokens")
+    targets = spark.createDataFrame([("a", 0.5, 4), ("b", 0.5, 4)], "source string, target_share double, max_repeats int")
+    slots = mixing.mix_slots(tokens, targets)
+    n = {r["source"]: r["count"] for r in slots.groupBy("source").count().collect()}
+    assert n == {"a": 80_000, "b": 80_000}
+    assert {r["count"] for r in slots.filter("source = 'a'").groupBy("block").count().collect()} == {4}
+    assert slots.groupBy("shard").count().filter("count > 4096").count() == 0
