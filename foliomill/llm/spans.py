@@ -13,10 +13,13 @@ document meets only the shards that can hold a match: winnowing over
    Shards that many classes are streamed to are repeated, each copy serving a
    part of the stream.
 3. Per shard, a suffix array gives the Burrows-Wheeler transform, kept in a
-   wavelet tree of packed bits.  Backward search, for all streamed documents
-   at once, takes each block of ``SPAN / 2`` characters from its end to its
-   start; every span holds at least one whole block.  Blocks that occur in
-   another class are located and extended to maximal matches.
+   wavelet tree of packed bits; of the suffix array itself only every
+   ``SAMPLE``-th text position is kept.  Backward search, for all streamed
+   documents at once, tests the matching statistics at every ``SPAN / 2``-th
+   character against that length: each block of so many characters is read
+   from its end to its start, and every span holds at least one whole block.
+   Blocks that occur in another class are located, by walking back to a kept
+   position, and extended to maximal matches.
 4. Matches become pairs of classes with spans; membership gives the documents.
 
 Defined cases: null texts and texts shorter than ``SPAN`` share nothing;
@@ -38,6 +41,8 @@ from foliomill.plans.runtime import materialize, small
 
 #: Characters a shared span has at least; characters of a hashed gram; characters of an index shard.
 SPAN, GRAM, SHARD_CHARS = 320, 240, 1_500_000
+#: Text positions of which one is kept in a sampled suffix array.
+SAMPLE = 32
 #: Characters of a piece of a very long text.
 PIECE = 1 << 20
 #: Streamed characters one copy of a shard serves.
@@ -96,16 +101,31 @@ class WaveletTree:
             self.zeros.append(int(len(bit) - bit.sum()))
             seq = np.concatenate((seq[bit == 0], seq[bit == 1]))
 
+    def ones(self, k: int, i: np.ndarray) -> np.ndarray:
+        """How many bits of a row are set before position i."""
+        word = i >> 6
+        below = self.bits[k][word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
+        return self.counts[k][word] + np.bitwise_count(below)
+
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each symbol stands before position i, less the symbol's start in the last level."""
         for k, level in enumerate(range(self.levels - 1, -1, -1)):
-            word = i >> 6
-            below = self.bits[k][word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
-            ones = self.counts[k][word] + np.bitwise_count(below)
+            ones = self.ones(k, i)
             i = np.where(symbol >> level & 1, self.zeros[k] + ones, i - ones)
         return i
 
 
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The symbols at the positions i."""
+        symbol = np.zeros(len(i), np.int64)
+        for k in range(self.levels):
+            bit = (self.bits[k][i >> 6] >> (i & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+            ones = self.ones(k, i)
+            symbol = symbol << 1 | bit
+            i = np.where(bit == 1, self.zeros[k] + ones, i - ones)
+        return symbol
+
+
 class FMIndex:
     """Occurrences of patterns in a text by backward search."""
 
@@ -113,8 +133,11 @@ class FMIndex:
         self.alphabet = np.unique(codes)
         symbols = np.searchsorted(self.alphabet, codes) + 1
         text = np.append(symbols, 0)
-        self.sa = suffix_array(text)
-        bwt = text[self.sa - 1]
+        self.rows = len(text)
+        sa = suffix_array(text)
+        bwt = text[sa - 1]
+        kept = sa % SAMPLE == 0
+        self.kept, self.samples = WaveletTree(kept.astype(np.int64), 2), sa[kept].astype(np.int32 if self.rows < 1 << 31 else np.int64)
         self.tree = WaveletTree(bwt, len(self.alphabet) + 1)
         count = np.bincount(bwt, minlength=len(self.alphabet) + 1)
         self.first = np.concatenate(([0], np.cumsum(count)))[:-1]
@@ -130,7 +153,7 @@ class FMIndex:
     def search(self, symbols: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pattern, lo, hi) of the patterns symbols[start : start + length] that occur, as rows of the suffix array."""
         alive = np.arange(len(start))
-        lo, hi = np.zeros(len(start), np.int64), np.full(len(start), len(self.sa), np.int64)
+        lo, hi = np.zeros(len(start), np.int64), np.full(len(start), self.rows, np.int64)
         for k in range(length - 1, -1, -1):
             c = symbols[start[alive] + k]
             lo = self.first[c] + self.tree.rank(c, lo) - self.shift[c]
@@ -143,6 +166,21 @@ class FMIndex:
         return alive, lo, hi
 
 
+    def locate(self, row: np.ndarray) -> np.ndarray:
+        """Text positions of rows of the suffix array: back by one character at a time, to a kept one."""
+        out = np.zeros(len(row), np.int64)
+        todo, steps = np.arange(len(row)), 0
+        while len(todo):
+            here = self.kept.access(row) == 1
+            done = todo[here]
+            out[done] = self.samples[self.kept.ones(0, row[here])] + steps
+            todo, row = todo[~here], row[~here]
+            c = self.tree.access(row)
+            row = self.first[c] + self.tree.rank(c, row) - self.shift[c]
+            steps += 1
+        return out
+
+
 class Shard:
     """The indexed texts of a shard."""
 
@@ -167,7 +205,7 @@ class Shard:
             return
         n = hi - lo
         row = np.repeat(np.arange(len(found)), n)
-        here = self.index.sa[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+        here = self.index.locate(np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()))
         mine = start[found[row]]
         doc = np.searchsorted(ends, mine)
         other = np.searchsorted(self.starts, here, "right") - 1

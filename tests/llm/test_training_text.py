@@ -376,6 +376,14 @@ def test_wavelet_rank():
         assert [int(index.rank(np.array([s]), np.array([i]))[0] - base) for i in range(0, 301, 17)] == [int((seq[:i] == s).sum()) for i in range(0, 301, 17)]
 
 
+@pytest.mark.parametrize("n", [1, 40, 3000])
+def test_sampled_positions(n):
+    codes = code_points("".join(random.Random(n).choice("abcab x") for _ in range(n)))
+    index = spans.FMIndex(codes)
+    want = spans.suffix_array(np.append(np.searchsorted(index.alphabet, codes) + 1, 0))
+    assert (index.locate(np.arange(n + 1)) == want).all()
+
+
 def test_spans_against_brute_force(spark):
     rng = random.Random(8)
     letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
