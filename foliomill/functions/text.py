@@ -136,9 +136,9 @@ def text_key(text: Column) -> Column:
     return F.sha1(F.encode(text, "utf-8"))
 
 
-def tail_of(text: Column, limit: int) -> Column:
+def tail_of(text: Column, limit: int | Column) -> Column:
     """The last ``limit`` characters from a word's start, with an ellipsis, of a longer text."""
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.lit("…"), F.regexp_replace(F.right(text, F.lit(limit)), "^[^ ]* ", "")))
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.lit("…"), F.regexp_replace(F.right(text, limit if isinstance(limit, Column) else F.lit(limit)), "^[^ ]* ", "")))
 
 
 def redacted(text: Column, secrets: list[str]) -> Column:
@@ -157,6 +157,18 @@ def title_reply(text: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(trimmed(line), "^[\"“”«»*]+|[\"“”«»*]+$", ""), "^Title:", ""))
 
 
+def reply_rules(text: Column) -> Column:
+    """The rule lines of a model's glossary reply: fences off, notes and lines without ``=`` left out."""
+    body = F.regexp_replace(trimmed(text), r"^```[a-zA-Z]*[ \t\n\r\f]*|```[ \t\n\r\f]*$", "")
+    lines = F.transform(F.split(body, "\r?\n"), trimmed)
+    return F.array_join(F.filter(lines, lambda x: F.contains(x, F.lit("=")) & ~x.startswith("#")), "\n")
+
+
+def is_description(text: Column) -> Column:
+    """Whether a description can be translated as text: it has letters and no markup."""
+    return text.rlike(r"\p{L}") & ~F.contains(text, F.lit("<"))
+
+
 def message_key(text: Column) -> Column:
     """A checker's message without its markup-dependent tail."""
     return F.regexp_replace(text, r"(?s);\s*expected\b.*$", "")

@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
-from foliomill.operators.segments import latest_segments
+from foliomill.operators.segments import latest_segments, superseded
 
 
 def latest_entries(cache: DataFrame) -> DataFrame:
     """The last write of every (book_id, doc_no, src_sha1)."""
-    best = cache.groupBy("book_id", "doc_no", "src_sha1").agg(F.max(F.struct("written_at", "cache_id")).alias("b")).select(F.col("b.cache_id").alias("cache_id"))
-    return cache.join(best, "cache_id", "left_semi")
+    return cache.join(superseded(cache, ("book_id", "doc_no", "src_sha1"), F.struct("written_at", "cache_id"), "cache_id"), "cache_id", "left_anti")
 
 
 def merged_cache(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -132,6 +132,12 @@ def paragraphs_merged(segments: DataFrame) -> DataFrame:
     return runs.filter("merged > 1").select("book_id", "doc_no", "seg_no", "merged", "body")
 
 
+def cleaned_segments(segments: DataFrame, books: DataFrame) -> DataFrame:
+    """segments with their texts cleaned: page artefacts out, characters repaired; texts that only were an artefact become empty."""
+    stripped = stripped_text(classified_lines(segments, books)).select("seg_id", "body")
+    return segments.join(stripped, "seg_id", "left").withColumn("text", T.characters_fixed(F.coalesce("body", "text"))).drop("body")
+
+
 def fixed_characters(segments: DataFrame) -> DataFrame:
     """(seg_id, body): texts that character repairs change."""
     rows = segments.select("seg_id", "text", T.characters_fixed(F.col("text")).alias("body"))

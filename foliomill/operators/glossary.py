@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
@@ -85,8 +85,6 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_candidates(segments: DataFrame, limit: int = TERMS) -> DataFrame:
     """(book_id, term, uses, example, rank): terms used twice, once inside a sentence; the first wins a tie."""
-    from pyspark.sql import Window
-
     rows = segments.filter(T.is_translatable(F.col("text"))).select("book_id", "doc_no", "seg_no", T.plain_tight(F.col("text")).alias("t"))
     uses = rows.mapInArrow(_emit, "book_id long, doc_no int, seg_no int, at int, term string, mid boolean, example string")
     place = F.struct("doc_no", "seg_no", "at")
@@ -136,11 +134,23 @@ def overriding(*rules: DataFrame) -> DataFrame:
 
 
 def merged_rules(base: DataFrame, new: DataFrame) -> DataFrame:
-    """(book_id, source, renderings, line, change): full outer join, the new rule wins; added, changed or kept."""
+    """(book_id, source, renderings, line, change, ord): full outer join, the new rule wins; added, changed or kept.
+
+    ``ord`` is the place in the merged list, by the source in small letters.
+    """
     b = base.select("book_id", "source", F.col("renderings").alias("b_r"), F.col("line").alias("b_l"))
     n = new.select("book_id", "source", F.col("renderings").alias("n_r"), F.col("line").alias("n_l"))
     change = F.when(F.col("b_r").isNull(), "added").when(F.col("n_r").isNotNull() & (F.col("b_r") != F.col("n_r")), "changed").otherwise("kept")
-    return b.join(n, ["book_id", "source"], "full").select("book_id", "source", F.coalesce("n_r", "b_r").alias("renderings"), F.coalesce("n_l", "b_l").alias("line"), change.alias("change"))
+    return b.join(n, ["book_id", "source"], "full").select("book_id", "source", F.coalesce("n_r", "b_r").alias("renderings"), F.coalesce("n_l", "b_l").alias("line"), change.alias("change")).withColumn("ord", F.row_number().over(Window.partitionBy("book_id").orderBy(F.lower("source"), "source")))
+
+
+def inherited_rules(bodies: DataFrame, books: DataFrame, series_rules: DataFrame) -> DataFrame:
+    """(book_id, source, line): the rules of a book's series whose terms stand in the book.
+
+    bodies (seg_id, book_id, body), series_rules (series, source, renderings, line, ord).
+    """
+    rules = books.select("book_id", "series").filter("series is not null").join(series_rules, "series").drop("series")
+    return relevant_rules(bodies, rules).select("book_id", "source", "line").distinct()
 
 
 def unknown_terms(candidates: DataFrame, rules: DataFrame) -> DataFrame:

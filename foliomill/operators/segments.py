@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
@@ -12,8 +15,20 @@ KEY = ("book_id", "doc_no", "seg_no")
 
 def latest_segments(segments: DataFrame) -> DataFrame:
     """One row per place in a book: the one ingested last (then the largest id)."""
-    best = segments.filter("book_id is not null").groupBy(*KEY).agg(F.max(F.struct("ingested_at", "seg_id")).alias("b")).select(F.col("b.seg_id").alias("seg_id"))
-    return segments.join(best, "seg_id", "left_semi")
+    return segments.filter("book_id is not null").join(superseded(segments, KEY, F.struct("ingested_at", "seg_id"), "seg_id"), "seg_id", "left_anti")
+
+
+def superseded(rows: DataFrame, key: tuple[str, ...], order: Column, ident: str) -> DataFrame:
+    """(ident): the rows of a key but its last one.
+
+    Few keys are repeated, so it is their rows that are joined against, not the
+    last row of every key: the rows themselves needn't be shuffled.
+    """
+    best = rows.groupBy(*(F.col(c).alias(f"{c}_") for c in key)).agg(F.max(order).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    same = F.lit(True)
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return rows.select(*key, order.alias("own"), ident).join(best, same).filter("own < best").select(ident)
 
 
 def first_seen(segments: DataFrame) -> DataFrame:
@@ -79,17 +94,40 @@ def placeholder_census(segments: DataFrame) -> DataFrame:
     return rows.groupBy("book_id", "tag").agg(F.count("*").alias("segments"), F.sum("k").alias("placeholders"))
 
 
+def _free_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (book, root): each id's number of underscores, the least that no id of its root has yet."""
+    schema = pa.schema([("book_id", pa.int64()), ("doc_no", pa.int32()), ("seg_no", pa.int32()), ("ident", pa.string()), ("made", pa.string())])
+    key, taken, least = None, set(), {}
+    for batch in batches:
+        made = []
+        for book, root, kept, tails in zip(*(batch.column(c).to_pylist() for c in ("book_id", "root", "kept", "tails"))):
+            if key != (book, root):
+                key, taken, least = (book, root), set(), {}
+            k = tails
+            if not kept:
+                k = least.get(tails, tails)
+                while k in taken:
+                    k += 1
+                least[tails] = k + 1
+            taken.add(k)
+            made.append(root + "_" * k)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("book_id", "doc_no", "seg_no")), batch.column("ident").cast(pa.string()), pa.array(made, pa.string())], schema=schema)
+
+
 def chapter_ids(segments: DataFrame) -> DataFrame:
-    """(book_id, seg_no, doc_no, ident, made): valid, distinct navigation ids from heading texts.
+    """(book_id, doc_no, seg_no, ident, made): valid, distinct navigation ids from heading texts.
 
     The first valid use of an id is kept; invalid or repeated ones become
-    ``np_`` and the id with other characters as ``_``; a clash adds ``_``.
+    ``np_`` and the id with other characters as ``_``, and as many more ``_``
+    as it takes to differ from all others.  Only ids that differ in their last
+    underscores can clash: these are put in order together.
     """
-    heads = latest_segments(segments).filter("tag = 'h1' and text is not null").select("book_id", "doc_no", "seg_no", F.substring("text", 1, 12).alias("ident"))
-    seen = Window.partitionBy("book_id", "ident").orderBy("doc_no", "seg_no")
-    rows = heads.withColumn("nth", F.row_number().over(seen))
-    valid = F.col("ident").rlike(r"^[A-Za-z_][A-Za-z0-9_.-]*$")
-    rows = rows.withColumn("kept", valid & (F.col("nth") == 1))
-    rows = rows.withColumn("base", F.when(F.col("kept"), F.col("ident")).otherwise(F.concat(F.lit("np_"), F.regexp_replace("ident", r"[^A-Za-z0-9_.-]", "_"))))
-    clash = Window.partitionBy("book_id", "base").orderBy(F.desc("kept"), "doc_no", "seg_no")
-    return rows.withColumn("again", F.row_number().over(clash) - 1).select("book_id", "doc_no", "seg_no", "ident", F.concat("base", F.expr("repeat('_', again)")).alias("made"))
+    heads = latest_segments(segments).filter("tag = 'h1' and text is not null").select("book_id", "doc_no", "seg_no", F.col("text").alias("ident"))
+    place = F.struct("doc_no", "seg_no")
+    first = heads.groupBy("book_id", "ident").agg(F.min(place).alias("first"))
+    rows = heads.join(first, ["book_id", "ident"])
+    rows = rows.withColumn("kept", F.col("ident").rlike(r"^[A-Za-z_][A-Za-z0-9_.-]*$") & (place == F.col("first")))
+    base = F.when(F.col("kept"), F.col("ident")).otherwise(F.concat(F.lit("np_"), F.regexp_replace("ident", r"[^A-Za-z0-9_.-]", "_")))
+    rows = rows.withColumn("base", base).withColumn("root", F.regexp_replace("base", "_+$", "")).withColumn("tails", (F.length("base") - F.length("root")).cast("int"))
+    rows = rows.repartition("book_id", "root").sortWithinPartitions("book_id", "root", F.desc("kept"), "doc_no", "seg_no")
+    return rows.select("book_id", "doc_no", "seg_no", "ident", "root", "kept", "tails").mapInArrow(_free_ids, "book_id long, doc_no int, seg_no int, ident string, made string")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import languages
 from foliomill.functions import text as T
-from foliomill.operators import batching, cache, checker, cleanup, glossary, limits, markup, quality, segments, translate
+from foliomill.operators import batching, cache, checker, cleanup, glossary, limits, markup, quality, search, segments, translate
 from foliomill.plans.runtime import materialize
 from foliomill.sources import epub
 from foliomill.sources.tables import table
@@ -94,6 +94,23 @@ def repeated_caps(spark: SparkSession, d: str) -> DataFrame:
     return cleanup.repeated_caps(segments.lines(_seg(spark, d)))
 
 
+def _page_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as a scanned page has them: the book's title and a number over every document, and its author in capitals."""
+    rows = table(spark, d, "documents").select("doc_id", "book_id", "chapter").join(table(spark, d, "books").select("book_id", "title", "author"), "book_id")
+    line = F.explode(F.array_compact(F.array(F.concat_ws(" ", F.col("chapter").cast("string"), "title"), F.upper("author"), F.concat_ws(" ", F.lit("p."), "chapter"))))
+    return rows.select(F.col("doc_id").alias("seg_id"), "book_id", F.lit(3).alias("n_lines"), line.alias("line"))
+
+
+@query
+def page_heads(spark: SparkSession, d: str) -> DataFrame:
+    return cleanup.running_heads(_page_lines(spark, d))
+
+
+@query
+def page_caps(spark: SparkSession, d: str) -> DataFrame:
+    return cleanup.repeated_caps(_page_lines(spark, d))
+
+
 @query
 def name_keys(spark: SparkSession, d: str) -> DataFrame:
     return cleanup.name_keys(table(spark, d, "books"))
@@ -184,17 +201,26 @@ def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = materialize(_pending(spark, d), "pending")
     books, config = table(spark, d, "books"), table(spark, d, "run_config")
-    return batching.dry_run(rows, batching.chunk_plan(rows, books, config), books, config)
+    return batching.dry_run(rows, batching.chunk_plan(rows, books, config), books, config, glossary.name_words(_seg(spark, d)))
+
+
+def _settings(spark: SparkSession, d: str) -> DataFrame:
+    """(book_id, context_chars, part_chars) of each book."""
+    return table(spark, d, "books").join(table(spark, d, "run_config"), "profile").select("book_id", "context_chars", F.col("segment_chars").alias("part_chars"))
+
+
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    return batching.split_units(_seg(spark, d), _settings(spark, d))
 
 
 @query
 def split_units(spark: SparkSession, d: str) -> DataFrame:
-    return batching.split_units(_seg(spark, d), 1500)
+    return _units(spark, d)
 
 
 @query
 def rejoined_units(spark: SparkSession, d: str) -> DataFrame:
-    return batching.rejoined(batching.split_units(_seg(spark, d), 1500)).select("seg_id", F.length(F.regexp_replace("body", r"[ \t\n\r\f]+", "")).alias("chars"))
+    return batching.rejoined(_units(spark, d)).select("seg_id", F.length(F.regexp_replace("body", r"[ \t\n\r\f]+", "")).alias("chars"))
 
 
 @query
@@ -202,20 +228,52 @@ def context_pairs(spark: SparkSession, d: str) -> DataFrame:
     return batching.context_windows(_seg(spark, d))
 
 
+def _starts(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    return rows.join(plan, "seg_id").groupBy("book_id", "doc_no", "chunk").agg(F.min("seg_no").alias("seg_no"))
+
+
+def _contexts(spark: SparkSession, d: str, rows: DataFrame, plan: DataFrame) -> DataFrame:
+    done = _pairs(spark, d).select("book_id", "doc_no", "seg_no", T.plain_tight(F.col("source")).alias("source"), T.plain_tight(F.col("translation")).alias("translation"))
+    return batching.request_contexts(done, _seg(spark, d).filter("book_id is not null"), _starts(rows, plan), _settings(spark, d))
+
+
+def _planned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = materialize(_pending(spark, d), "pending")
+    return rows, materialize(batching.chunk_plan(rows, table(spark, d, "books"), table(spark, d, "run_config")), "plan")
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """Pending texts as requests: parts of long texts, the rules that stand in them, the passage before."""
+    rows, plan = _planned(spark, d)
+    units = _units(spark, d).join(rows.select("seg_id"), "seg_id", "left_semi")
+    bodies = rows.select("seg_id", "book_id", T.plain_tight(F.col("text")).alias("body"))
+    return translate.requests_of(units, plan, glossary.relevant_rules(bodies, _name_rules(spark, d)), _contexts(spark, d, rows, plan))
+
+
+@query
+def request_context(spark: SparkSession, d: str) -> DataFrame:
+    """The passage before each planned request."""
+    return _contexts(spark, d, *_planned(spark, d))
+
+
 @query
 def prompt_texts(spark: SparkSession, d: str) -> DataFrame:
-    rows = segments.numbered_text(_seg(spark, d)).withColumnRenamed("body", "items")
-    names = table(spark, d, "books").select("book_id", F.concat_ws(" = ", "author", "author").alias("g")).withColumn("glossary", F.nullif("g", F.lit("")))
-    return batching.prompts(rows.join(names, "book_id").withColumn("context", F.lit(None).cast("string"))).select("book_id", "doc_no", "prompt")
+    """What would be sent: glossary, passage before, numbered texts."""
+    return translate.prompt_of(_requests(spark, d))
+
+
+@query
+def prompt_parts(spark: SparkSession, d: str) -> DataFrame:
+    """How many texts, rules and pairs of context each prompt holds."""
+    n = lambda pattern: F.regexp_count("prompt", F.lit(pattern))
+    rules = F.when(F.col("prompt").startswith(translate.TERMS), F.size(F.split(F.substring_index("prompt", "\n\n", 1), "\n")) - 1).otherwise(0)
+    return prompt_texts(spark, d).select("book_id", "doc_no", "chunk", rules.alias("rules"), n(r"(?m)^SOURCE: ").alias("pairs"))
 
 
 @query
 def echo_translation(spark: SparkSession, d: str) -> DataFrame:
     """Pending texts through the whole request path: split, planned, asked for in batches, put together."""
-    rows = materialize(_pending(spark, d), "pending")
-    plan = batching.chunk_plan(rows, table(spark, d, "books"), table(spark, d, "run_config"))
-    units = batching.split_units(_seg(spark, d), 1500).join(rows.select("seg_id"), "seg_id", "left_semi")
-    made = translate.translated_units(translate.requests_of(units, plan), translate.echo)
+    made = translate.translated_units(_requests(spark, d), translate.echo)
     whole = batching.rejoined(made.withColumnRenamed("translation", "unit"))
     return whole.select("seg_id", F.regexp_replace("body", r"[ \t\n\r\f]+", "").alias("body"))
 
@@ -246,7 +304,15 @@ def name_words(spark: SparkSession, d: str) -> DataFrame:
 def _name_rules(spark: SparkSession, d: str) -> DataFrame:
     """A rule per recurring name of a book: names stay as they are."""
     words = glossary.name_words(_seg(spark, d)).filter("uses >= 3")
-    return words.select("book_id", F.col("word").alias("source"), F.array("word").alias("renderings"), F.concat_ws(" = ", "word", "word").alias("line"), F.lit(0).alias("ord"))
+    order = F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("uses"), "word"))
+    return words.select("book_id", F.col("word").alias("source"), F.array("word").alias("renderings"), F.concat_ws(" = ", "word", "word").alias("line"), order.alias("ord"))
+
+
+def _long_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of several words and with a rendering in small letters: each name and the word after it."""
+    after = F.regexp_extract_all(T.plain_tight(F.col("text")), F.lit(r"[a-z],? ([A-Z][a-z]+ [a-z]+)"), F.lit(1))
+    words = _seg(spark, d).filter("text is not null").select("book_id", F.explode(after).alias("source")).groupBy("book_id", "source").agg(F.count("*").alias("uses")).filter("uses >= 2")
+    return words.select("book_id", "source", F.array(F.lower("source"), F.col("source")).alias("renderings"), F.concat_ws(" = ", "source", F.lower("source")).alias("line"), F.lit(0).alias("ord"))
 
 
 def _bodies(spark: SparkSession, d: str) -> DataFrame:
@@ -258,6 +324,18 @@ def relevant_terms(spark: SparkSession, d: str) -> DataFrame:
     return glossary.relevant_rules(_bodies(spark, d), _name_rules(spark, d)).select("seg_id", "source").distinct()
 
 
+@query
+def relevant_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return glossary.relevant_rules(_bodies(spark, d), _long_rules(spark, d)).select("seg_id", "source").distinct()
+
+
+@query
+def phrase_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Rules with a rendering in small letters, against texts that hold them as they are."""
+    rows = _bodies(spark, d).withColumn("translation", F.col("body"))
+    return glossary.violations(rows, _long_rules(spark, d))
+
+
 @query
 def prompt_blocks(spark: SparkSession, d: str) -> DataFrame:
     return glossary.rule_blocks(glossary.relevant_rules(_bodies(spark, d), _name_rules(spark, d)))
@@ -303,9 +381,46 @@ def parse_glossary(spark: SparkSession, d: str) -> DataFrame:
 @query
 def glossary_merge(spark: SparkSession, d: str) -> DataFrame:
     both = glossary.merged_rules(glossary.parsed_rules(_base_texts(spark, d)), glossary.parsed_rules(_new_texts(spark, d)))
-    return both.select("book_id", "source", F.concat_ws("|", "renderings").alias("targets"), "change")
+    return both.select("book_id", "source", F.concat_ws("|", "renderings").alias("targets"), "change", "ord")
 
 
+@query
+def series_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Names of all books of a series, as its rules, that stand in each of them."""
+    books = table(spark, d, "books")
+    rules = _name_rules(spark, d).join(books.filter("series is not null").select("book_id", "series"), "book_id").groupBy("series", "source")
+    return glossary.inherited_rules(_bodies(spark, d), books, rules.agg(F.min("renderings").alias("renderings"), F.min("line").alias("line"), F.min("ord").alias("ord")))
+
+
+@query
+def new_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Names of a book that its series has no rule for."""
+    words = glossary.name_words(_seg(spark, d)).withColumnRenamed("word", "term")
+    return glossary.unknown_terms(words, series_terms(spark, d))
+
+
+@query
+def glossary_replies(spark: SparkSession, d: str) -> DataFrame:
+    """The rule lines of a model's replies, fenced and commented."""
+    log = table(spark, d, "cleanup_log")
+    reply = F.concat(F.lit("```text\n# terms\n  "), F.replace("entry", F.lit(": "), F.lit(" = ")), F.lit("\nno rule\n#x = y\n"), F.col("entry"), F.lit("\n``` "))
+    return log.select("log_id", T.reply_rules(reply).alias("rules"))
+
+
+@query
+def metadata_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Cache keys of titles, and whether a text may be translated as a description."""
+    books = table(spark, d, "books").filter("title is not null")
+    return books.select("book_id", T.text_key(F.concat(F.lit("title\n"), "title")).alias("key"), T.is_description(F.col("title")).alias("plain"), T.is_description(F.concat(F.lit("<b>"), "title")).alias("marked"))
+
+
+@query
+def label_translations(spark: SparkSession, d: str) -> DataFrame:
+    """Navigation labels with the translation their document's cache has, else as they are."""
+    labels = segments.latest_segments(_seg(spark, d)).filter(F.col("tag").rlike("^h[1-3]$") & (T.collapsed(F.col("text")) != "")).select("book_id", "doc_no", "seg_no", F.col("text").alias("label"), T.text_key(F.col("text")).alias("src_sha1"))
+    known = cache.latest_entries(table(spark, d, "segment_cache")).select("book_id", "doc_no", "src_sha1", "translation")
+    return labels.join(known, ["book_id", "doc_no", "src_sha1"], "left").select("book_id", "doc_no", "seg_no", F.coalesce("translation", "label").alias("label"))
+
 @query
 def glossary_override(spark: SparkSession, d: str) -> DataFrame:
     both = glossary.overriding(glossary.parsed_rules(_base_texts(spark, d)), glossary.parsed_rules(_new_texts(spark, d)))
@@ -366,6 +481,12 @@ def report_diff(spark: SparkSession, d: str) -> DataFrame:
     return quality.report_difference(table(spark, d, "run_stats"))
 
 
+@query
+def report_diff_books(spark: SparkSession, d: str) -> DataFrame:
+    """The first and the last run of each book, whatever document they were over."""
+    return quality.report_difference(table(spark, d, "run_stats").withColumn("doc_no", F.lit(0)))
+
+
 @query
 def run_totals(spark: SparkSession, d: str) -> DataFrame:
     return quality.run_totals(table(spark, d, "run_stats"))
@@ -386,6 +507,12 @@ def documents_without_runs(spark: SparkSession, d: str) -> DataFrame:
     return quality.documents_without_runs(_seg(spark, d), table(spark, d, "run_stats"))
 
 
+@query
+def documents_without_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents none of whose runs reports how many requests it made."""
+    return quality.documents_without_runs(_seg(spark, d), table(spark, d, "run_stats").filter("requests is not null"))
+
+
 @query
 def resource_hash(spark: SparkSession, d: str) -> DataFrame:
     return quality.changed_resources(_seg(spark, d))
@@ -418,15 +545,16 @@ def language_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def name_search(spark: SparkSession, d: str) -> DataFrame:
-    """Books a query finds, for every author's words as a query: exact path, exact name, else all words in the stem."""
+    """Books found by path, by file name and by words of the title, asked for once for every book.
+
+    An exact path wins, then an exact name, else all the words must stand in the stem.
+    """
     books = table(spark, d, "books")
     name = F.regexp_replace("path", "^.*/", "")
-    norm = lambda c: F.trim(F.regexp_replace(T.ascii_fold(c), r"[ \t\n\r\f_.-]+", " "))
-    stems = books.select("book_id", "path", name.alias("name"), norm(F.regexp_replace(name, "[.][^.]*$", "")).alias("stem"))
-    asked = books.filter("title is not null").select(F.col("book_id").alias("asked"), F.element_at(F.split("title", " "), -1).alias("q")).select("asked", "q", norm(F.col("q")).alias("words"))
-    # the words of stems, joined on the query's word: no query meets every book
-    parts = stems.withColumn("w", F.explode(F.array_distinct(F.split("stem", " "))))
-    return parts.join(asked.filter("words <> ''"), parts.w == asked.words).select("asked", "book_id").distinct()
+    words = F.split("title", " ")
+    texts = F.array("path", F.upper(name), F.concat_ws(" ", F.element_at(words, 1), F.element_at(words, -1)), F.substring(F.element_at(words, -1), 1, 4))
+    asked = books.filter("title is not null").select(F.col("book_id").alias("asked"), F.posexplode(texts).alias("nth", "q"))
+    return search.found_books(books.select("book_id", "path"), asked)
 
 
 @query
@@ -465,16 +593,17 @@ def _streamed(spark: SparkSession, d: str, build, name: str, mode: str) -> DataF
     sink = out.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").outputMode(mode)
     if mode == "append":
         sink.format("parquet").option("path", f"{base}/rows").start().awaitTermination()
-    else:  # the last complete result replaces those before it
-        sink.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/rows")).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/rows")
+        return spark.read.schema(out.schema).parquet(f"{base}/rows")
+    # a batch writes its updates under its own number, so that one that is run again replaces them
+    sink.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/rows/batch={n}")).start().awaitTermination()
+    return spark.read.schema(out.schema.add("batch", "long")).parquet(f"{base}/rows")
 
 
 @query
 def stream_daily_quota(spark: SparkSession, d: str) -> DataFrame:
     from foliomill.streaming import limits as stream_limits
 
-    return _streamed(spark, d, stream_limits.daily_use, "daily", "complete")
+    return stream_limits.merged_updates(_streamed(spark, d, stream_limits.daily_use, "daily", "update"), "user_id", "day")
 
 
 @query
@@ -503,14 +632,58 @@ def translated_documents(spark: SparkSession, d: str) -> DataFrame:
     return markup.translated_documents(markup.documents_of(_seg(spark, d)), answers, "es", bilingual=True)
 
 
+def _packages(spark: SparkSession, d: str) -> DataFrame:
+    return epub.built_packages(markup.documents_of(_seg(spark, d)), table(spark, d, "books"))
+
+
+def _at(documents: DataFrame, books: DataFrame) -> DataFrame:
+    """(path, item_path, html): where documents stand in the packages of ``_packages``."""
+    name = F.concat(F.lit("OEBPS/ch"), F.lpad(F.col("doc_no").cast("string"), 5, "0"), F.lit(".xhtml"))
+    return documents.join(books.select("book_id", "path"), "book_id").select("path", name.alias("item_path"), "html")
+
+
 @query
 def epub_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Books written as packages and read again: their documents in reading order."""
-    files = materialize(epub.built_packages(markup.documents_of(_seg(spark, d)), table(spark, d, "books")), "packages")
-    return epub.content_documents(materialize(epub.packages(files), "opened"))
+    return epub.content_documents(materialize(epub.packages(_packages(spark, d)), "opened"))
 
 
 @query
 def epub_metadata(spark: SparkSession, d: str) -> DataFrame:
-    files = epub.built_packages(markup.documents_of(_seg(spark, d)), table(spark, d, "books"))
-    return epub.packages(files).select("path", "title", "author", "lang", "series", "version", F.size("spine").alias("documents"))
+    return epub.packages(_packages(spark, d)).select("path", "title", "author", "lang", "series", "version", "identifier", F.size("spine").alias("documents"))
+
+
+@query
+def epub_translated(spark: SparkSession, d: str) -> DataFrame:
+    """Packages from book to book: cached answers written into the documents, metadata rewritten, read again."""
+    books = table(spark, d, "books")
+    answers = _pairs(spark, d).select("book_id", "doc_no", "seg_no", "translation")
+    documents = markup.translated_documents(markup.documents_of(_seg(spark, d)), answers, "es")
+    files = materialize(_packages(spark, d), "packages")
+    meta = books.select("path", F.lit("es").alias("lang"), T.derived_uid(F.concat(F.lit("book-"), "book_id"), F.lit("es")).alias("uid"), F.upper("title").alias("title"), F.lit(None).cast("map<string,string>").alias("labels"))
+    made = epub.rewritten_packages(files, _at(documents, books), meta)
+    return epub.packages(made).select("path", "title", "lang", "identifier", F.size("spine").alias("documents"))
+
+
+@query
+def epub_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Packages without their first document and with a picture more in the others, against the whole ones.
+
+    Texts whose placeholders don't match make documents that are no XML in both; these are left out here.
+    """
+    documents = markup.documents_of(_seg(spark, d))
+    first = documents.groupBy("book_id").agg(F.min("doc_no").alias("doc_no"))
+    less = documents.join(first, ["book_id", "doc_no"], "left_anti").withColumn("html", F.replace("html", F.lit("</body>"), F.lit('<p><img src="x.png" alt=""/></p></body>')))
+    books = table(spark, d, "books")
+    whole = materialize(_packages(spark, d), "packages").join(books.join(less.select("book_id"), "book_id", "left_semi").select("path"), "path", "left_semi")
+    return epub.package_problems(epub.built_packages(less, books), whole).filter(~F.col("problem").endswith("is not well-formed"))
+
+
+@query
+def epub_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Packages of cleaned texts, without translation: their documents."""
+    books = table(spark, d, "books")
+    documents = markup.documents_of(cleanup.cleaned_segments(_seg(spark, d), books))
+    made = epub.built_packages(documents, books.withColumn("path", F.regexp_replace("path", "[.]epub$", "_CLEAN.epub")))
+    opened = epub.content_documents(materialize(epub.packages(made), "opened"))
+    return epub.document_bytes(made, opened).select("path", "item_path", F.length("data").alias("bytes"))

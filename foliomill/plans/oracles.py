@@ -165,7 +165,7 @@ select seg_id, w as source, case when low > 0 and low <= k - good then w || ': '
     "bilingual_rows": f"with {LATEST}, {CACHE}, b as (select s.book_id, s.doc_no, s.seg_no, s.text, c.translation from ls s join lc c on c.book_id = s.book_id and c.doc_no = s.doc_no and c.src_sha1 = sha1(s.text) where c.translation is not null and s.text is not null) select book_id, doc_no, seg_no, 0 as rank, text as body from b union all select book_id, doc_no, seg_no, 1, translation from b",
     "tag_census": f"select book_id, coalesce(tag, '?') as tag, count(*) as segments, sum(coalesce(len(regexp_extract_all(text, {q(T.TOKEN)})), 0))::bigint as placeholders from segments group by 1, 2",
     "ordered_dedup": "select book_id, doc_no, seg_no, seg_id, copies from (select *, row_number() over (partition by book_id, doc_no, seg_no order by extracted_at, seg_id) as rn, count(*) over (partition by book_id, doc_no, seg_no) as copies from segments) where rn = 1",
-    "ncx_ids": f"""with {LATEST}, h as (select book_id, doc_no, seg_no, substring(text, 1, 12) as ident from ls where tag = 'h1' and text is not null),
+    "ncx_ids": f"""with {LATEST}, h as (select book_id, doc_no, seg_no, text as ident from ls where tag = 'h1' and text is not null),
 n as (select *, row_number() over (partition by book_id, ident order by doc_no, seg_no) as nth from h), k as (select *, regexp_matches(ident, '^[A-Za-z_][A-Za-z0-9_.-]*$') and nth = 1 as kept from n),
 b as (select *, case when kept then ident else 'np_' || regexp_replace(ident, '[^A-Za-z0-9_.-]', '_', 'g') end as base from k)
 select book_id, doc_no, seg_no, ident, base || repeat('_', (row_number() over (partition by book_id, base order by kept desc, doc_no, seg_no) - 1)::int) as made from b""",
@@ -194,22 +194,21 @@ count(*) filter (starts_with(e, 'joined broken line')) as line_joins, count(*) f
     "chunk_plan": f"""with recursive {PENDING}, o as (select p.seg_id, p.book_id, p.doc_no, length(p.text) + 8 as n, r.max_chars as cap, row_number() over (partition by p.book_id, p.doc_no order by p.seg_no, p.seg_id) as rn from pend p join books b on b.book_id = p.book_id join run_config r on r.profile = b.profile),
 w as (select seg_id, book_id, doc_no, rn, n as size, 1 as chunk from o where rn = 1 union all select o.seg_id, o.book_id, o.doc_no, o.rn, case when w.size + o.n > o.cap then o.n else w.size + o.n end, case when w.size + o.n > o.cap then w.chunk + 1 else w.chunk end from w join o on o.book_id = w.book_id and o.doc_no = w.doc_no and o.rn = w.rn + 1)
 select seg_id, chunk from w""",
-    "chunk_stats": f"""with recursive {PENDING}, o as (select p.seg_id, p.book_id, p.doc_no, length(p.text) + 8 as n, r.max_chars as cap, r.rpd, row_number() over (partition by p.book_id, p.doc_no order by p.seg_no, p.seg_id) as rn from pend p join books b on b.book_id = p.book_id join run_config r on r.profile = b.profile),
+    "chunk_stats": f"""with recursive {PENDING}, {WORDS}, g as (select book_id, ((count(*) + 149) // 150)::bigint as asked from nw group by 1), o as (select p.seg_id, p.book_id, p.doc_no, length(p.text) + 8 as n, r.max_chars as cap, r.rpd, row_number() over (partition by p.book_id, p.doc_no order by p.seg_no, p.seg_id) as rn from pend p join books b on b.book_id = p.book_id join run_config r on r.profile = b.profile),
 w as (select book_id, doc_no, rn, n as size, 1 as chunk from o where rn = 1 union all select o.book_id, o.doc_no, o.rn, case when w.size + o.n > o.cap then o.n else w.size + o.n end, case when w.size + o.n > o.cap then w.chunk + 1 else w.chunk end from w join o on o.book_id = w.book_id and o.doc_no = w.doc_no and o.rn = w.rn + 1),
 c as (select book_id, sum(m)::bigint as requests from (select book_id, doc_no, max(chunk) as m from w group by 1, 2) group by 1), t as (select book_id, count(*) as pending, sum(n - 8)::bigint as pending_chars, max(rpd) as rpd from o group by 1)
-select t.book_id, t.pending, t.pending_chars, c.requests, t.pending_chars // 4 as tokens, case when rpd > 0 then ((c.requests + rpd - 1) // rpd)::bigint end as days from t join c on c.book_id = t.book_id""",
+select t.book_id, t.pending, t.pending_chars, c.requests + coalesce(g.asked, 0) as requests, t.pending_chars // 4 as tokens, case when rpd > 0 then ((c.requests + coalesce(g.asked, 0) + rpd - 1) // rpd)::bigint end as days from t join c on c.book_id = t.book_id left join g on g.book_id = t.book_id""",
     "rejoined_units": f"with {LATEST} select seg_id, length(regexp_replace(text, {q(WS)}, '', 'g'))::int as chars from ls where {TRANSLATABLE}",
     "context_pairs": f"""with {LATEST}, n as (select seg_id, book_id, doc_no, seg_no, length({tight("text")}) as n from ls where {TRANSLATABLE}), u as (select *, sum(n) over (partition by book_id, doc_no order by seg_no rows unbounded preceding)::bigint as upto from n),
 k as (select *, count(*) over r as k, sum(n) over r as s from u window r as (partition by book_id, doc_no order by upto range between 1300 preceding and current row))
 select seg_id, coalesce(lag(k) over o, 0) as before, least(coalesce(lag(s) over o, 0), 1500)::bigint as chars from k window o as (partition by book_id, doc_no order by seg_no)""",
-    "prompt_texts": f"with {LATEST}, i as (select book_id, doc_no, string_agg('[[' || seg_no || ']] ' || text, chr(10) order by seg_no) as items from ls where text is not null group by 1, 2) select i.book_id, i.doc_no, case when b.author is null then items else 'GLOSSARY:' || chr(10) || author || ' = ' || author || chr(10) || chr(10) || 'SEGMENTS:' || chr(10) || items end as prompt from i join books b on b.book_id = i.book_id",
     "name_words": f"with {WORDS} select * from nw",
     "relevant_terms": f"with {LATEST}, {WORDS}, {BODIES}, {RELEVANT} select * from rel",
     "prompt_blocks": f"with {LATEST}, {WORDS}, {BODIES}, {RELEVANT} select seg_id, string_agg(source || ' = ' || source, chr(10) order by source || ' = ' || source) as block from rel group by 1",
     "missing_names": f"{MISSING} select * from mi",
     "names_report": f"{MISSING} select count(*) as issues, count(distinct seg_id) as segments from mi",
     "parse_glossary": f"with {BASE}, {_rules('bt')} select book_id, source, targets, line, ord from re",
-    "glossary_merge": f"{BOTH} select coalesce(b.book_id, n.book_id) as book_id, coalesce(b.source, n.source) as source, coalesce(n.targets, b.targets) as targets, case when b.source is null then 'added' when n.source is not null and b.targets <> n.targets then 'changed' else 'kept' end as change from bre b full join nre n on n.book_id = b.book_id and n.source = b.source",
+    "glossary_merge": f"{BOTH} select coalesce(b.book_id, n.book_id) as book_id, coalesce(b.source, n.source) as source, coalesce(n.targets, b.targets) as targets, case when b.source is null then 'added' when n.source is not null and b.targets <> n.targets then 'changed' else 'kept' end as change, row_number() over (partition by coalesce(b.book_id, n.book_id) order by lower(coalesce(b.source, n.source)), coalesce(b.source, n.source))::int as ord from bre b full join nre n on n.book_id = b.book_id and n.source = b.source",
     "glossary_override": f"{BOTH} select book_id, source, arg_max(targets, layer) as targets, max(layer) as layer from (select *, 0 as layer from bre union all select *, 1 from nre) group by 1, 2",
     "known_terms_removed": f"with {WORDS} select nw.book_id, nw.word as term, nw.uses from nw where not exists (select 1 from books b where b.book_id = nw.book_id and split_part(b.author, ' ', 1) = nw.word)",
     "completeness": f"""with {PAIRS}, t as (select seg_id, {tight("source")} as s, {tight("translation")} as t from pr), w as (select seg_id, length(t) / length(s) as share, list_distinct(list_filter(regexp_extract_all(s, '\\p{{L}}{{3,}}'), lambda x: not regexp_matches(x, '[\\p{{Lu}}\\p{{Lt}}]'))) as sw, list_filter(regexp_extract_all(t, '\\p{{L}}{{3,}}'), lambda x: not regexp_matches(x, '[\\p{{Lu}}\\p{{Lt}}]')) as tw from t where length(s) >= 300),
@@ -242,8 +241,6 @@ l as (select * from (values {", ".join(f"({q(a)}, {q(b)})" for a, b in languages
 k as (select value, trim(value) as raw, replace(lower(trim(value)), '_', '-') as key, split_part(replace(lower(trim(value)), '_', '-'), '-', 1) as base from m)
 select k.value, case when l.code is not null then k.key when a.code is not null then a.code when b.code is not null then k.key else coalesce(nullif(substring(k.base, 1, 8), ''), 'und') end as code, coalesce(l.name, al.name, b.name, k.raw) as name
 from k left join l on l.code = k.key left join a on a.alias = k.key left join l al on al.code = a.code left join l b on b.code = k.base where k.value is not null""",
-    "name_search": f"""with s as (select book_id, trim(regexp_replace({fold("regexp_replace(regexp_replace(path, '^.*/', ''), '[.][^.]*$', '')")}, '[ \\t\\n\\r\\f_.-]+', ' ', 'g')) as stem from books), w as (select distinct book_id, unnest(string_split(stem, ' ')) as w from s),
-a as (select book_id as asked, trim(regexp_replace({fold("list_extract(string_split(title, ' '), -1)")}, '[ \\t\\n\\r\\f_.-]+', ' ', 'g')) as words from books where title is not null) select distinct a.asked, w.book_id from a join w on w.w = a.words where a.words <> ''""",
     "scalar_texts": """select log_id as id, case when length(entry) <= 40 then entry else '…' || regexp_replace(right(entry, 40), '^[^ ]* ', '') end as tail, replace(replace(entry, 'OEBPS', '***'), 'xhtml', '***') as redacted, entry as answer,
 regexp_replace(regexp_replace(regexp_replace(regexp_replace(split_part('Title: “' || substring(entry, 1, 30) || '”', chr(10), 1), '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'), '^["“”«»*]+|["“”«»*]+$', '', 'g'), '^Title:', ''), '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') as title,
 entry as key, nullif(regexp_extract('retryDelay: ' || regexp_extract(entry, '#([0-9]+)', 1) || 's', '(?i)retry(?:Delay|[ -]?after| in)[^0-9]{0,12}([0-9]+)', 1), '')::int as delay from cleanup_log""",
@@ -256,3 +253,58 @@ from (select *, not exists (select 1 from m n where n.book_id = m.book_id and n.
     "stream_daily_quota": "select user_id, (ts - interval 8 hours)::date as day, count(*) as calls from events group by 1, 2",
     "stream_sliding_rate": "select event_id, user_id, calls from (select event_id, user_id, count(*) over (partition by user_id order by epoch_us(ts) range between 21599999999 preceding and current row) as calls from events) where calls > 2",
 }
+
+PLAN = f"""{PENDING}, o as (select p.seg_id, p.book_id, p.doc_no, p.seg_no, length(p.text) + 8 as n, r.max_chars as cap, row_number() over (partition by p.book_id, p.doc_no order by p.seg_no, p.seg_id) as rn from pend p join books b on b.book_id = p.book_id join run_config r on r.profile = b.profile),
+w as (select seg_id, book_id, doc_no, seg_no, rn, n as size, 1 as chunk from o where rn = 1 union all select o.seg_id, o.book_id, o.doc_no, o.seg_no, o.rn, case when w.size + o.n > o.cap then o.n else w.size + o.n end, case when w.size + o.n > o.cap then w.chunk + 1 else w.chunk end from w join o on o.book_id = w.book_id and o.doc_no = w.doc_no and o.rn = w.rn + 1)"""
+
+
+def tail(x: str, n: str) -> str:
+    return f"case when length({x}) <= {n} then {x} else '…' || regexp_replace(right({x}, ({n})::int), '^[^ ]* ', '') end"
+
+
+ROOM = "(a.context_chars - (a.total - b.upto))"
+SHARE = f"greatest(1, floor(length(b.translation) * {ROOM} / length(b.source)))::int"
+# Pairs before each request, numbered from the document's carried ones on; sums count a pair and all before it.
+CONTEXTS = f"""with recursive {PLAN}, {CACHE},
+pr as (select s.book_id, s.doc_no, s.seg_no, {tight("s.text")} as source, {tight("c.translation")} as translation from ls s join lc c on c.book_id = s.book_id and c.doc_no = s.doc_no and c.src_sha1 = sha1(s.text) where c.translation is not null and {TRANSLATABLE.replace('text', 's.text', 1)} and {trim(tight("s.text"))} <> ''),
+ds as (select distinct book_id, doc_no from segments where book_id is not null), ca as (select d.book_id, d.doc_no, max(p.doc_no) as src from ds d join (select distinct book_id, doc_no from pr) p on p.book_id = d.book_id and p.doc_no < d.doc_no group by 1, 2),
+lt as (select *, row_number() over (partition by book_id, doc_no order by seg_no desc) as back from pr),
+al as (select book_id, doc_no, seg_no, source, translation from pr union all select ca.book_id, ca.doc_no, -lt.back, lt.source, lt.translation from ca join lt on lt.book_id = ca.book_id and lt.doc_no = ca.src and lt.back <= 3),
+up as (select *, sum(length(source)) over (partition by book_id, doc_no order by seg_no rows unbounded preceding) as upto from al),
+st as (select w.book_id, w.doc_no, w.chunk, min(w.seg_no) as at, any_value(r.context_chars) as context_chars from w join books b on b.book_id = w.book_id join run_config r on r.profile = b.profile group by 1, 2, 3),
+a as (select st.*, (select coalesce(max(u.upto), 0) from up u where u.book_id = st.book_id and u.doc_no = st.doc_no and u.seg_no < st.at) as total from st)"""
+
+SERIES = f"""{LATEST}, {WORDS}, {BODIES}, r as (select distinct b.series, n.word from books b join nw n on n.book_id = b.book_id and n.uses >= 3 where b.series is not null),
+k as (select distinct b.book_id, r.word from books b join r on r.series = b.series join bo t on t.book_id = b.book_id and contains(t.body, r.word) and {holds("t.body", "r.word")})"""
+
+ORACLES |= {
+    "request_context": f"""{CONTEXTS} select a.book_id, a.doc_no, a.chunk, string_agg(case when b.source is not null then 'SOURCE: ' || case when length(b.source) > {ROOM} then {tail("b.source", ROOM)} else b.source end || chr(10) || 'TRANSLATION: ' || case when length(b.source) > {ROOM} then {tail("b.translation", SHARE)} else b.translation end end, chr(10) order by b.seg_no) as context
+from a left join up b on b.book_id = a.book_id and b.doc_no = a.doc_no and b.seg_no < a.at and a.context_chars > 0 and {ROOM} >= 200 group by 1, 2, 3""",
+    "prompt_parts": f"""{CONTEXTS}, {WORDS}, bo as (select w.book_id, w.doc_no, w.chunk, {tight("p.text")} as body from w join pend p on p.seg_id = w.seg_id),
+k as (select b.book_id, b.doc_no, b.chunk, count(distinct n.word) as rules from bo b join nw n on n.book_id = b.book_id and n.uses >= 3 and contains(b.body, n.word) and {holds("b.body", "n.word")} group by 1, 2, 3),
+x as (select a.book_id, a.doc_no, a.chunk, count(b.seg_no) as pairs from a left join up b on b.book_id = a.book_id and b.doc_no = a.doc_no and b.seg_no < a.at and a.context_chars > 0 and {ROOM} >= 200 group by 1, 2, 3)
+select x.book_id, x.doc_no, x.chunk, coalesce(k.rules, 0)::int as rules, x.pairs::int as pairs from x left join k on k.book_id = x.book_id and k.doc_no = x.doc_no and k.chunk = x.chunk""",
+    "page_heads": f"""with d as (select d.book_id, d.chapter, b.title, b.author from documents d join books b on b.book_id = d.book_id), ln as (select book_id, unnest([concat_ws(' ', chapter, title), concat_ws(' ', 'p.', chapter)]) as line from d union all select book_id, upper(author) from d where author is not null)
+select book_id, {head_key("line")} as key, count(*) as uses from ln where length(line) between 1 and 60 and {NUMBERED} and length({head_key("line")}) >= 3 group by 1, 2 having count(*) >= 3""",
+    "page_caps": "with d as (select d.book_id, upper(b.author) as line from documents d join books b on b.book_id = d.book_id) select book_id, line, count(*) as uses from d where length(line) between 6 and 40 and len(regexp_extract_all(line, '\\p{Lu}')) >= 5 and not regexp_matches(line, '\\p{Ll}') group by 1, 2 having count(*) >= 5",
+    "name_search": f"""with s as (select book_id, path, lower(regexp_replace(path, '^.*/', '')) as name, trim(regexp_replace({fold("regexp_replace(regexp_replace(path, '^.*/', ''), '[.][^.]*$', '')")}, '[ \\t\\n\\r\\f_.-]+', ' ', 'g')) as stem from books where ends_with(lower(path), '.epub')),
+a as (select book_id as asked, unnest([path, upper(regexp_replace(path, '^.*/', '')), string_split(title, ' ')[1] || ' ' || string_split(title, ' ')[-1], substring(string_split(title, ' ')[-1], 1, 4)]) as q, unnest([0, 1, 2, 3]) as nth from books where title is not null),
+p as (select asked, nth, book_id from a join s on s.path = a.q), e as (select distinct asked, nth, book_id from a join s on s.name in (lower(a.q), lower(a.q) || '.epub') where not exists (select 1 from p where p.asked = a.asked and p.nth = a.nth)),
+w as (select asked, nth, list_filter(string_split(trim(regexp_replace({fold("q")}, '[ \\t\\n\\r\\f_.-]+', ' ', 'g')), ' '), lambda x: x <> '') as ws from a where not exists (select 1 from p where p.asked = a.asked and p.nth = a.nth) and not exists (select 1 from e where e.asked = a.asked and e.nth = a.nth))
+select * from p union all select * from e union all select w.asked, w.nth, s.book_id from w join s on len(w.ws) > 0 and len(list_filter(w.ws, lambda x: contains(s.stem, x))) = len(w.ws)""",
+    "report_diff_books": ORACLES["report_diff"].replace("from run_stats", "from rs").replace("with e as", "with rs as (select * exclude (doc_no), 0 as doc_no from run_stats), e as"),
+    "documents_without_counts": "select distinct book_id, doc_no from segments s where book_id is not null and not exists (select 1 from run_stats r where r.book_id = s.book_id and r.doc_no = s.doc_no and r.requests is not null)",
+    "series_terms": f"""with {SERIES} select book_id, word as source, word || ' = ' || word as line from k""",
+    "new_candidates": f"with {SERIES} select nw.book_id, nw.word as term, nw.uses from nw where not exists (select 1 from k where k.book_id = nw.book_id and k.word = nw.word)",
+    "glossary_replies": "select log_id, array_to_string(list_filter([trim(replace(entry, ': ', ' = ')), trim(entry)], lambda x: contains(x, '=') and not starts_with(x, '#')), chr(10)) as rules from cleanup_log",
+    "metadata_keys": "select book_id, sha1('title' || chr(10) || title) as key, regexp_matches(title, '\\p{L}') and not contains(title, '<') as plain, false as marked from books where title is not null",
+    "label_translations": f"with {LATEST}, {CACHE} select s.book_id, s.doc_no, s.seg_no, coalesce(c.translation, s.text) as label from ls s left join lc c on c.book_id = s.book_id and c.doc_no = s.doc_no and c.src_sha1 = sha1(s.text) where regexp_matches(s.tag, '^h[1-3]$') and {collapse('s.text')} <> ''",
+    "epub_metadata": f"with {LATEST}, d as (select book_id, count(distinct doc_no) as documents from ls where text is not null and text <> '' group by 1) select b.path, coalesce(b.title, '') as title, coalesce(b.author, '') as author, coalesce(b.lang, '') as lang, coalesce(b.series, '') as series, b.version, 'book-' || b.book_id as identifier, d.documents::int as documents from books b join d on d.book_id = b.book_id",
+    "epub_round_trip": f"with {LATEST}, d as (select distinct book_id, doc_no from ls where text is not null and text <> '') select b.path, row_number() over (partition by b.path order by d.doc_no)::int as doc_no, 'OEBPS/ch' || lpad(d.doc_no::varchar, 5, '0') || '.xhtml' as item_path from books b join d on d.book_id = b.book_id",
+    "epub_translated": f"""with {LATEST}, d as (select book_id, count(distinct doc_no) as documents from ls where text is not null and text <> '' group by 1), h as (select book_id, left(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('foliomill:book-' || book_id || ':es')), 32) as h from books)
+select b.path, coalesce(upper(b.title), '') as title, 'es' as lang, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || translate(substring(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substring(h, 18, 3) || '-' || substring(h, 21, 12) as identifier, d.documents::int as documents from books b join d on d.book_id = b.book_id join h on h.book_id = b.book_id""",
+    "epub_problems": f"""with {LATEST}, d as (select distinct book_id, doc_no, 'OEBPS/ch' || lpad(doc_no::varchar, 5, '0') || '.xhtml' as name from ls where text is not null and text <> ''), f as (select book_id, min(doc_no) as doc_no, count(*) as n from d group by 1)
+select b.path, case when f.doc_no is not null then 'missing from output: ' || d.name else d.name || ': <img> count changed 0 -> 1' end as problem from d join books b on b.book_id = d.book_id join f g on g.book_id = d.book_id and g.n > 1 left join f on f.book_id = d.book_id and f.doc_no = d.doc_no""",
+    "relevant_phrases": f"""with {LATEST}, {BODIES}, np as (select book_id, w as source from (select book_id, unnest(regexp_extract_all({tight('text')}, '[a-z],? ([A-Z][a-z]+ [a-z]+)', 1)) as w from segments where text is not null) group by 1, 2 having count(*) >= 2)
+select distinct b.seg_id, n.source from bo b join np n on n.book_id = b.book_id and contains(b.body, n.source) and {holds("b.body", "n.source")}""",
+}

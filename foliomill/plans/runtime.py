@@ -16,9 +16,13 @@ BROADCAST_ROWS = 400_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, a laptop) a local temporary folder takes its place.
+    Only where it is unset and the session is local (tests, a laptop) a
+    temporary folder takes its place; on a cluster that is an error, since
+    executors would each write to a disk of their own.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="foliomill-")
         spark.conf.set("spark.checkpoint.dir", at)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import posixpath
 import xml.etree.ElementTree as ET
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -13,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliomill.operators.markup import parse_document
+
 # Namespaces and media types of the package format.
 OPF, DC, CONTAINER, NCX = "http://www.idpf.org/2007/opf", "http://purl.org/dc/elements/1.1/", "urn:oasis:names:tc:opendocument:xmlns:container", "http://www.daisy.org/z3986/2005/ncx/"
 XHTML_TYPES = ("application/xhtml+xml", "text/html")
@@ -52,6 +56,8 @@ def read_package(data: bytes, stem: str = "") -> dict:
     toc = manifest.get(spine.get("toc")) if spine is not None and spine.get("toc") else None
     toc = toc or next((m for m in manifest.values() if m["media_type"] == NCX_TYPE), None)
     first = lambda tag, default="": ((e.text or "").strip() if (e := opf.find(f".//{{{DC}}}{tag}")) is not None else default)
+    key = opf.get("unique-identifier")
+    ident = next(((e.text or "").strip() for e in opf.iter(f"{{{DC}}}identifier") if e.get("id") == key), "")
     series = ""
     for meta in opf.iter(f"{{{OPF}}}meta"):
         if meta.get("name") == "calibre:series" and (meta.get("content") or "").strip():
@@ -61,19 +67,19 @@ def read_package(data: bytes, stem: str = "") -> dict:
         if series:
             break
     return {
-        "version": opf.get("version", "2.0"), "title": first("title", stem), "author": first("creator"), "lang": first("language"), "description": first("description"), "series": series,
+        "version": opf.get("version", "2.0"), "title": first("title", stem), "author": first("creator"), "lang": first("language"), "description": first("description"), "series": series, "identifier": ident,
         "opf_path": at, "ncx_path": toc["path"] if toc and toc["path"] in names else None, "manifest": list(manifest.values()), "spine": refs, "names": sorted(names),
     }
 
 
 _ITEM = "struct<id:string,path:string,media_type:string,properties:string>"
-PACKAGE = f"path string, error string, version string, title string, author string, lang string, description string, series string, opf_path string, ncx_path string, manifest array<{_ITEM}>, spine array<string>, names array<string>"
+PACKAGE = f"path string, error string, version string, title string, author string, lang string, description string, series string, identifier string, opf_path string, ncx_path string, manifest array<{_ITEM}>, spine array<string>, names array<string>"
 
 
 def packages(files: DataFrame) -> DataFrame:
     """(path, error, metadata, manifest, spine, names) of (path, content) rows, as a binaryFile scan gives them."""
     item = pa.struct([(c, pa.string()) for c in ("id", "path", "media_type", "properties")])
-    text = ("version", "title", "author", "lang", "description", "series", "opf_path", "ncx_path")
+    text = ("version", "title", "author", "lang", "description", "series", "identifier", "opf_path", "ncx_path")
     schema = pa.schema([("path", pa.string()), ("error", pa.string()), *((c, pa.string()) for c in text), ("manifest", pa.list_(item)), ("spine", pa.list_(pa.string())), ("names", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +216,82 @@ def built_packages(documents: DataFrame, books: DataFrame) -> DataFrame:
     return rows.groupBy("book_id").applyInArrow(run, "path string, content binary")
 
 
+def rewritten_packages(files: DataFrame, documents: DataFrame, meta: DataFrame) -> DataFrame:
+    """(path, content): packages with documents replaced and the package document rewritten.
+
+    documents (path, item_path, html); meta (path, lang, uid, title, labels
+    map<string,string>): a null uid or title stays as it is, labels are those
+    of the navigation document.  A package is one file, so its documents meet
+    in one task; packages without any replaced document are written too.
+    """
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content, replaced, lang, uid, title, labels in zip(*(c.to_pylist() for c in batch.columns)):
+                parts = {x["item_path"]: x["html"].encode() for x in replaced or ()}
+                z = zipfile.ZipFile(io.BytesIO(content))
+                package = read_package(content)
+                parts[package["opf_path"]] = rewritten_opf(z.read(package["opf_path"]), lang, uid, title)
+                if package["ncx_path"]:
+                    parts[package["ncx_path"]] = rewritten_ncx(z.read(package["ncx_path"]), lang, dict(labels or ()), title, uid)
+                yield pa.RecordBatch.from_pylist([{"path": path, "content": write_package(content, parts)}], schema=schema)
+
+    grouped = documents.groupBy("path").agg(F.collect_list(F.struct("item_path", "html")).alias("replaced"))
+    rows = files.join(grouped, "path", "left").join(meta, "path").select("path", "content", "replaced", "lang", "uid", "title", "labels")
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+# Elements whose number must stay, and suffixes of members that are text.
+COUNTED = ("img", "image", "a", "table", "svg")
+TEXT_SUFFIXES = (".html", ".xhtml", ".htm", ".opf", ".ncx")
+_MEMBER = "path string, nth int, name string, stored boolean, whole boolean, digest string, is_text boolean, xml_error boolean, tags map<string,int>"
+
+
+def members(files: DataFrame) -> DataFrame:
+    """A row per member of each package: its place, digest, whether it is well-formed, how often each counted element stands in it."""
+    schema = pa.schema([("path", pa.string()), ("nth", pa.int32()), ("name", pa.string()), ("stored", pa.bool_()), ("whole", pa.bool_()), ("digest", pa.string()), ("is_text", pa.bool_()), ("xml_error", pa.bool_()), ("tags", pa.map_(pa.string(), pa.int32()))])
+
+    def row(z: zipfile.ZipFile, path: str, nth: int, info: zipfile.ZipInfo) -> dict:
+        try:
+            data, whole = z.read(info), True
+        except zipfile.BadZipFile:
+            data, whole = b"", False
+        is_text = info.filename.lower().endswith(TEXT_SUFFIXES)
+        error, tags = False, None
+        if info.filename.lower().endswith(TEXT_SUFFIXES[:3]):
+            try:
+                ET.fromstring(data)
+            except ET.ParseError:
+                error = True
+            names = Counter(n.tag for n in parse_document(data)[0].walk() if n.is_element)
+            tags = [(t, names[t]) for t in COUNTED]
+        return {"path": path, "nth": nth, "name": info.filename, "stored": info.compress_type == zipfile.ZIP_STORED, "whole": whole, "digest": hashlib.sha256(data).hexdigest(), "is_text": is_text, "xml_error": error, "tags": tags}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                z = zipfile.ZipFile(io.BytesIO(content))
+                yield pa.RecordBatch.from_pylist([row(z, path, i, info) for i, info in enumerate(z.infolist())], schema=schema)
+
+    return files.select("path", "content").mapInArrow(run, _MEMBER)
+
+
 def package_problems(after: DataFrame, before: DataFrame) -> DataFrame:
-    """(path, problem): members of the original that are missing, manifest items without a member."""
-    name = lambda d: d.filter("error is null").select("path", F.explode("names").alias("name"))
-    gone = name(before).join(name(after), ["path", "name"], "left_anti").select("path", F.concat(F.lit("missing from output: "), "name").alias("problem"))
-    item = after.filter("error is null").select("path", "names", F.explode("manifest").alias("m"))
-    lost = item.filter(~F.array_contains("names", F.col("m.path"))).select("path", F.concat(F.lit("manifest item missing: "), F.col("m.path")).alias("problem"))
-    return gone.unionByName(lost)
+    """(path, problem): what is wrong with packages made from others; both sides are (path, content) of the same paths."""
+    new, old = members(after), members(before)
+    said = lambda rows, *parts: rows.select("path", F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("problem"))
+    first = new.filter("nth = 0 and (name <> 'mimetype' or not stored)")
+    gone = old.select("path", "name").join(new.select("path", "name"), ["path", "name"], "left_anti")
+    listed = packages(after).filter("error is null").select("path", F.explode("manifest.path").alias("name"))
+    lost = listed.join(new.select("path", "name"), ["path", "name"], "left_anti")
+    both = new.join(old.select("path", "name", F.col("digest").alias("old_digest"), F.col("tags").alias("old_tags")), ["path", "name"])
+    counts = both.filter("tags is not null and old_tags is not null").select("path", "name", F.explode(F.array(*(F.struct(F.lit(t).alias("tag"), F.col("old_tags")[t].alias("a"), F.col("tags")[t].alias("b")) for t in COUNTED))).alias("t")).select("path", "name", "t.*").filter("a <> b")
+    changed = both.filter("not is_text and name <> 'mimetype' and digest <> old_digest")
+    out = said(first, "mimetype is not the first, stored member")
+    for more in (
+        said(new.filter("not whole"), "damaged member: ", F.col("name")), said(gone, "missing from output: ", F.col("name")), said(lost, "manifest item missing: ", F.col("name")), said(new.filter("xml_error"), F.col("name"), " is not well-formed"),
+        said(counts, F.col("name"), ": <", F.col("tag"), "> count changed ", F.col("a").cast("string"), " -> ", F.col("b").cast("string")), said(changed, "resource changed: ", F.col("name")),
+    ):
+        out = out.unionByName(more)
+    return out

@@ -100,7 +100,24 @@ def test_package(spark):
     assert [x["item_path"] for x in epub.content_documents(books).orderBy("doc_no").collect()] == ["a.xhtml", "b b.xhtml"]
     got = epub.document_bytes(files.filter("path = 'd/x.epub'"), epub.content_documents(books)).collect()
     assert {x["item_path"]: bytes(x["data"]) for x in got} == {"a.xhtml": b"x", "b b.xhtml": b"y"}
-    assert epub.package_problems(books, books).count() == 0
+    good = files.filter("path = 'd/x.epub'")
+    # made by hand: mimetype is compressed nowhere, but documents are no XML and a listed member is there
+    assert {r["problem"] for r in epub.package_problems(good, good).collect()} == {"a.xhtml is not well-formed", "b b.xhtml is not well-formed"}
+    worse = spark.createDataFrame([("d/x.epub", bytearray(package(OPF, {"a.xhtml": "<p><img/></p>", "t.ncx": "<ncx/>"})))], "path string, content binary")
+    assert {r["problem"] for r in epub.package_problems(worse, good).collect()} == {"missing from output: b b.xhtml", "manifest item missing: b b.xhtml", "a.xhtml: <img> count changed 0 -> 1"}
+
+
+def test_rewritten_packages(spark):
+    ncx = f'<ncx xmlns="{epub.NCX}"><docTitle><text>T</text></docTitle><navMap><navPoint id="1"><navLabel><text>One</text></navLabel></navPoint></navMap></ncx>'
+    files = spark.createDataFrame([("x.epub", bytearray(package(OPF, {"a.xhtml": "<p>x</p>", "b b.xhtml": "<p>y</p>", "t.ncx": ncx, "i.png": "img"})))], "path string, content binary")
+    docs = spark.createDataFrame([("x.epub", "a.xhtml", "<p>equis</p>")], "path string, item_path string, html string")
+    meta = spark.createDataFrame([("x.epub", "es", "new", "Título", {"One": "Uno"})], "path string, lang string, uid string, title string, labels map<string,string>")
+    made = epub.rewritten_packages(files, docs, meta)
+    r = epub.packages(made).first()
+    assert (r["lang"], r["identifier"], r["title"]) == ("es", "new", "Título")
+    z = zipfile.ZipFile(io.BytesIO(bytes(made.first()["content"])))
+    assert z.read("a.xhtml") == b"<p>equis</p>" and z.read("b b.xhtml") == b"<p>y</p>" and b">Uno<" in z.read("t.ncx") and z.read("i.png") == b"img"
+    assert epub.package_problems(made, files).count() == 0
 
 
 def test_protected_package():
