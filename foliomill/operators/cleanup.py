@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
-from foliomill.operators.segments import latest_segments, lines
+from foliomill.operators.segments import latest_segments, lines, text_lines
 from foliomill.plans.runtime import materialize
 
 #: Uses from which a numbered line is a running head, and a line in capitals an artefact.
@@ -68,11 +68,16 @@ def footnote_suspects(classified: DataFrame) -> DataFrame:
     return classified.filter(keep & ~F.coalesce(F.col("tag").rlike(HEADINGS), F.lit(False))).select("seg_id", "line_no", F.substring("line", 1, 90).alias("line"))
 
 
-def stripped_text(classified: DataFrame) -> DataFrame:
-    """(seg_id, removed, body): texts that lost lines, the others joined by a blank."""
-    item = F.when(F.col("kind").isNull(), F.struct("line_no", "line"))
-    rows = classified.groupBy("seg_id").agg(F.count("kind").cast("int").alias("removed"), F.array_sort(F.collect_list(item)).alias("kept"))
-    return rows.filter("removed > 0").select("seg_id", "removed", F.array_join(F.transform("kept", lambda x: x["line"]), " ").alias("body"))
+def stripped_text(segments: DataFrame, classified: DataFrame) -> DataFrame:
+    """(seg_id, removed, body): texts that lost lines, the others joined by a blank.
+
+    Lines to be removed are few: their numbers go to the texts that hold them,
+    and the lines of a text stay in its row.
+    """
+    gone = classified.filter("kind is not null").groupBy("seg_id").agg(F.collect_set("line_no").alias("gone"))
+    rows = segments.filter("text is not null").select("seg_id", text_lines(F.col("text")).alias("all")).join(gone, "seg_id")
+    kept = F.filter("all", lambda x: ~F.array_contains("gone", x["line_no"]))
+    return rows.select("seg_id", F.size("gone").alias("removed"), F.array_join(F.transform(kept, lambda x: x["line"]), " ").alias("body"))
 
 
 def issue_counts(cleanup_log: DataFrame) -> DataFrame:
@@ -92,7 +97,11 @@ def issues_by_kind(cleanup_log: DataFrame) -> DataFrame:
 
 
 LOWER, UPPER = r"\p{Ll}", r"\p{Lu}"
-JOINS = r"[a-záéíóúñüàèìòùâêîôûç0-9,;:-]$"
+# What a line or paragraph ends with that stops inside a sentence.
+STOPS_INSIDE = r"[a-záéíóúñüàèìòùâêîôûç0-9,;:-]$"
+LONG_STOPS_INSIDE = r"[a-záéíóúñü,;]$"
+#: Characters of a line from which a capital may follow a break inside a sentence.
+LONG_LINE = 25
 
 
 def broken_lines_joined(segments: DataFrame) -> DataFrame:
@@ -100,20 +109,23 @@ def broken_lines_joined(segments: DataFrame) -> DataFrame:
 
     A line is joined to the next where the next starts lower-case, or where it
     is long, stops inside a sentence and the next starts upper-case.  A
-    hyphen after a letter goes; other breaks stay as line breaks.
+    hyphen after a letter goes; other breaks stay as line breaks.  All lines of
+    a text are in its row, so nothing is shuffled.
     """
-    rows = lines(segments).filter("n_lines > 1")
-    order = Window.partitionBy("seg_id").orderBy("line_no")
-    rows = rows.withColumn("after", F.lead("line").over(order))
-    line, after = F.col("line"), F.col("after")
-    low = after.rlike(f"^{LOWER}") & (line.rlike(JOINS) | line.rlike(r"\p{L}$"))
-    up = after.rlike(f"^{UPPER}") & (F.length(line) >= 25) & line.rlike(r"[a-záéíóúñü,;]$")
-    joined = F.coalesce(low | up, F.lit(False))
-    hyphen = joined & line.rlike(r"\p{L}-$")
-    piece = F.when(hyphen, F.regexp_replace(line, "-$", "")).when(joined, F.concat(line, F.lit(" "))).when(after.isNull(), line).otherwise(F.concat(line, F.lit("\n")))
-    rows = rows.select("seg_id", "line_no", joined.cast("int").alias("j"), piece.alias("piece"))
-    rows = rows.groupBy("seg_id").agg(F.sum("j").cast("int").alias("joins"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "piece"))), lambda x: x["piece"]), "").alias("body"))
-    return rows.filter("joins > 0")
+    rows = segments.filter("text is not null").select("seg_id", F.size(F.split("text", T.BREAK, -1)).alias("n"), F.transform(text_lines(F.col("text")), lambda x: x["line"]).alias("lines")).filter("n > 1 and size(lines) > 1")
+
+    def judged(line: Column, i: Column) -> Column:
+        after = F.get("lines", i + 1)
+        low = after.rlike(f"^{LOWER}") & (line.rlike(STOPS_INSIDE) | line.rlike(r"\p{L}$"))
+        up = after.rlike(f"^{UPPER}") & (F.length(line) >= LONG_LINE) & line.rlike(LONG_STOPS_INSIDE)
+        return F.struct(line.alias("line"), F.coalesce(low | up, F.lit(False)).alias("joined"), after.isNull().alias("last"))
+
+    def piece(x: Column) -> Column:
+        line = x["line"]
+        return F.when(x["last"], line).when(x["joined"] & line.rlike(r"\p{L}-$"), F.regexp_replace(line, "-$", "")).when(x["joined"], F.concat(line, F.lit(" "))).otherwise(F.concat(line, F.lit("\n")))
+
+    rows = rows.withColumn("judged", F.transform("lines", judged)).withColumn("joins", F.size(F.filter("judged", lambda x: x["joined"]))).filter("joins > 0")
+    return rows.select("seg_id", "joins", F.array_join(F.transform("judged", piece), "").alias("body"))
 
 
 def paragraphs_merged(segments: DataFrame) -> DataFrame:
@@ -125,7 +137,7 @@ def paragraphs_merged(segments: DataFrame) -> DataFrame:
     rows = latest_segments(segments).select("book_id", "doc_no", "seg_no", "tag", T.plain(F.col("text")).alias("line"))
     order = Window.partitionBy("book_id", "doc_no").orderBy("seg_no")
     before, tag, number = (F.lag(c).over(order) for c in ("line", "tag", "seg_no"))
-    fits = F.col("tag").isin("p", "div") & tag.isin("p", "div") & (number == F.col("seg_no") - 1) & before.rlike(r"[a-záéíóúñüàèìòùâêîôûç0-9,;:-]$") & F.col("line").rlike(f"^{LOWER}")
+    fits = F.col("tag").isin("p", "div") & tag.isin("p", "div") & (number == F.col("seg_no") - 1) & before.rlike(STOPS_INSIDE) & F.col("line").rlike(f"^{LOWER}")
     rows = rows.withColumn("fresh", F.when(F.coalesce(fits, F.lit(False)), 0).otherwise(1))
     rows = rows.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = rows.groupBy("book_id", "doc_no", "run").agg(F.min("seg_no").alias("seg_no"), F.count("*").cast("int").alias("merged"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "line"))), lambda x: x["line"]), " ").alias("body"))
@@ -134,7 +146,7 @@ def paragraphs_merged(segments: DataFrame) -> DataFrame:
 
 def cleaned_segments(segments: DataFrame, books: DataFrame) -> DataFrame:
     """segments with their texts cleaned: page artefacts out, characters repaired; texts that only were an artefact become empty."""
-    stripped = stripped_text(classified_lines(segments, books)).select("seg_id", "body")
+    stripped = stripped_text(segments, classified_lines(segments, books)).select("seg_id", "body")
     return segments.join(stripped, "seg_id", "left").withColumn("text", T.characters_fixed(F.coalesce("body", "text"))).drop("body")
 
 

@@ -37,15 +37,19 @@ def first_seen(segments: DataFrame) -> DataFrame:
     return segments.groupBy(*KEY).agg(F.min(order).alias("b"), F.count("*").alias("copies")).select(*KEY, F.col("b.seg_id").alias("seg_id"), "copies")
 
 
+def text_lines(text: Column) -> Column:
+    """array<(line_no, line)>: the lines of a text that aren't blank."""
+    made = F.transform(F.split(text, T.BREAK, -1), lambda raw, i: F.struct((i + 1).alias("line_no"), T.plain(raw).alias("line")))
+    return F.filter(made, lambda x: x["line"] != "")
+
+
 def lines(segments: DataFrame) -> DataFrame:
     """(seg_id, book_id, doc_no, tag, n_lines, line_no, line): the lines of each text that aren't blank.
 
     A line ends at a line break or a void placeholder; ``n_lines`` counts blank ones too.
     """
-    parts = F.split("text", T.BREAK, -1)
-    rows = segments.filter("text is not null").select("seg_id", "book_id", "doc_no", "tag", F.size(parts).alias("n_lines"), F.posexplode(parts).alias("pos", "raw"))
-    rows = rows.select("seg_id", "book_id", "doc_no", "tag", "n_lines", (F.col("pos") + 1).alias("line_no"), T.plain(F.col("raw")).alias("line"))
-    return rows.filter("line <> ''")
+    rows = segments.filter("text is not null").select("seg_id", "book_id", "doc_no", "tag", F.size(F.split("text", T.BREAK, -1)).alias("n_lines"), F.explode(text_lines(F.col("text"))).alias("x"))
+    return rows.select("seg_id", "book_id", "doc_no", "tag", "n_lines", "x.line_no", "x.line")
 
 
 def translatable(segments: DataFrame) -> DataFrame:

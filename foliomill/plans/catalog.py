@@ -137,7 +137,7 @@ def footnote_suspects(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def strip_lines(spark: SparkSession, d: str) -> DataFrame:
-    return cleanup.stripped_text(_classified(spark, d))
+    return cleanup.stripped_text(_seg(spark, d), _classified(spark, d))
 
 
 @query
