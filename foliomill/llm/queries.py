@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 
+from foliomill.llm._lookalike import prototypes
 from foliomill.llm import confusables, encoding, leakage, mixing, packing, pairs, scannoise, spans, splitting
 from foliomill.sources.tables import table
 
@@ -92,8 +95,52 @@ QUERIES = {f.__name__: f for f in (p1_requests, p1_fill, p1_checks, p2_found, p2
 
 _LIMITS = "(select b.book_id, coalesce(r.segment_chars, 6000) as lim from books b left join run_config r on b.profile = r.profile)"
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def skeleton_sql(x: str) -> str:
+    """The skeleton of a text without decomposition: every composed character is replaced by what its parts become."""
+    to = prototypes()
+    single, dropped, several = {}, [], {}
+    for i in [*range(1, 0xD800), *range(0xE000, 0x20000)]:
+        c = chr(i)
+        parts = unicodedata.normalize("NFD", c)
+        if all(to[ord(p)] == ord(p) for p in parts):
+            continue
+        made = unicodedata.normalize("NFC", "".join(chr(to[ord(p)]) for p in parts if to[ord(p)]))
+        if len(made) == 1:
+            single[c] = made
+        elif made:
+            several[c] = made
+        else:
+            dropped.append(c)
+    gone = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in dropped) + "]"
+    x = f"translate(regexp_replace(nfc_normalize({x}), {_quoted(gone)}, '', 'g'), {_quoted(''.join(single))}, {_quoted(''.join(single.values()))})"
+    for c, made in several.items():
+        x = f"replace({x}, {_quoted(c)}, {_quoted(made)})"
+    return f"nfc_normalize({x})"
+
+
+_SKELETONS = f"k as (select seg_id, text, {skeleton_sql('text')} as form from segments where text is not null and seg_id is not null)"
+# Words after compatibility composition, as far as the data's characters ask for it: full-width forms and ligatures.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_WORDS = f"""list_filter(regexp_split_to_array(lower(translate(replace(replace(regexp_replace(nfc_normalize(text), '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{206F}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), {_quoted(_WIDE)}, {_quoted("".join(chr(ord(c) - 0xFEE0) for c in _WIDE))})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"""
+
+
+def _runs_sql(table: str, key: str) -> str:
+    """(key, h): hashes of all runs of 13 words."""
+    return f"select distinct {key}, unnest(list_transform(range(1, len(w) - 11), lambda i: hash(array_to_string(w[i:i + 12], ' ')))) as h from (select {key}, {_WORDS} as w from {table} where text is not null) where len(w) >= 13"
+
+
 ORACLES = {
     "p1_checks": """with c as (select b.book_id, max(r.max_chars) as cap from books b left join run_config r on b.profile = r.profile group by 1), s as (select s.book_id, s.seg_id, coalesce(length(s.text), 0) as n, coalesce(c.cap, 24000) as cap from segments s left join c on s.book_id = c.book_id where s.book_id is not null)
 select book_id, count(distinct seg_id) as segments, sum(greatest(ceil(n / cap), 1))::bigint as parts, sum(n)::bigint as chars, 0::bigint as too_full, 0::bigint as numbers_missing from s group by 1""",
     "p3_found": f"select distinct s.seg_id from segments s left join {_LIMITS} l on s.book_id = l.book_id where length(s.text) > coalesce(l.lim, 6000)",
+    "p6_found": f"with {_SKELETONS} select distinct a.seg_id as seg_a, b.seg_id as seg_b from k a join k b on a.form = b.form and a.seg_id < b.seg_id and a.text <> b.text",
+    "p6_groups": f"with {_SKELETONS} select seg_id, min(seg_id) over g as group_id, count(*) over g as group_rows, form from k window g as (partition by form)",
+    "p7_found": f"with d as ({_runs_sql('documents', 'doc_id')}), i as ({_runs_sql('benchmark', 'item_id')}) select distinct d.doc_id, i.item_id from d join i on i.h = d.h",
+    "p9_found": "with d as (select doc_id, text from documents where length(text) >= 320), w as (select distinct doc_id, unnest(list_transform(range(1, length(text) - 318), lambda i: hash(substring(text, i, 320)))) as h from d) select distinct a.doc_id as doc_a, b.doc_id as doc_b from w a join w b on a.h = b.h and a.doc_id < b.doc_id",
 }
