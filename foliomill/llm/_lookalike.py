@@ -16,6 +16,9 @@ SAME_SHAPE = {
     "cyrillic": ("АВЕЗІЇЈКМНОРСТУХЅԚԜҮаеёіїјорсухѕһԁԛԝүҺӀ", "ABE3IÏJKMHOPCTYXSQWYaeëiïjopcyxshdqwyhl"),
     "greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανοριϲυχϳ", "ABEZHIKMNOPTYXavopicuxj"),
     "latin": ("ıɑɡɩ", "iagi"),
+    "armenian": ("ՍՏՕԼհոսօց", "USOLhnuog"),
+    "coptic": ("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬⲟⲣⲥⲭ", "HIKMNOPCTXopcx"),
+    "cherokee": ("ᎪᎠᎡᎢᎩᎫᎬᎳᎷᎻᏃᏏᏒᏔᏙᏚᏞᏟᏢᏦᏴ", "ADRTYJEWMHZbRWVSLCPKB"),
 }
 
 
