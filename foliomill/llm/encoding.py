@@ -5,8 +5,8 @@ what it brings to the mutual information of neighbouring characters,
 ``p(a,b) * log2(p(a,b) / (p(a) * p(b)))``; pairs that wrong decoding makes bring
 next to nothing.  Per text, maximum-scoring segments over these values isolate
 improbable runs, and only inside them inverse mappings (encode again with the
-encoding that was used, decode with the right one) are tried, up to three
-times in a row.  A mapping holds if the run's pairs become markedly more
+encoding that was used, decode with the right one) are tried, again and again
+until none holds any more.  A mapping holds if the run's pairs become markedly more
 probable, and more so than by replacing look-alike letters.
 
 Defined cases: null and empty texts are never affected; a text with U+FFFD is
@@ -44,6 +44,8 @@ MARKS = frozenset("„“”‚‘’«»—–…")
 MAPPED = 3.0
 #: Words whose weights are kept.
 KEPT_WORDS = 300_000
+#: The last code point of the basic plane, a noncharacter; no encoding here has characters beyond.
+LAST = 0xFFFF
 #: Beyond so many distinct characters the pair table is searched instead of indexed.
 DENSE = 4096
 
@@ -171,8 +173,8 @@ def inverse(run: str, used: str, right: str, raw: bytes | None = None) -> str |
 
 @lru_cache(None)
 def _byte_lut(used: str) -> np.ndarray:
-    """Code point -> byte; 256 where there is none."""
-    out = np.full(0x110000, 256, np.uint16)
+    """Code point, up to the last one of the basic plane, -> byte; 256 where there is none."""
+    out = np.full(LAST + 1, 256, np.uint16)
     for c, i in _bytes_of(used).items():
         out[ord(c)] = i
     return out
@@ -281,7 +283,7 @@ class Repairer:
         utf8 = np.zeros(len(words), bool)
         gains = np.zeros((len(words), len(MAPPINGS)), np.float32)
         for k, (used, right) in enumerate(MAPPINGS):
-            x, y = _byte_lut(used)[first], _byte_lut(used)[second]
+            x, y = _byte_lut(used)[np.minimum(first, LAST)], _byte_lut(used)[np.minimum(second, LAST)]
             if right == "utf-8":
                 lead = (x >= 0xC2) & (x <= 0xF4)
                 # no lead without its follower, no follower after ASCII, and nothing that has no byte
@@ -375,13 +377,14 @@ class Repairer:
     def repair(self, text: str) -> tuple[str, str] | None:
         """(repaired text, mappings) of an affected text, None of others."""
         original, used = text, ["lost"] * ("\ufffd" in text)
-        for _ in range(4):
-            got = self._once(text)
-            if got is None:
-                break
+        seen = {text}
+        while (got := self._once(text)) is not None:
             text = got[0]
             used += got[1]
-        if text == original and used[:1] != ["lost"]:  # mappings that undo each other
+            if text in seen:  # mappings that undo each other
+                break
+            seen.add(text)
+        if text == original and used[:1] != ["lost"]:
             return None
         return (text, ",".join(dict.fromkeys(used))) if used else None
 

@@ -50,6 +50,14 @@ def test_a_garbled_word_counts_in_a_long_text():
     assert r.repair(text)[0] == text.replace(bad, "garçon")
 
 
+def test_text_garbled_many_times():
+    r = repairer(sentences(1500))
+    text = bad = "the garçon and the élève"
+    for _ in range(6):
+        bad = bad.encode().decode("cp1252")
+    assert r.repair(bad)[0] == text
+
+
 # --- 2
 
 
