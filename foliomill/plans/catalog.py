@@ -492,9 +492,35 @@ def run_totals(spark: SparkSession, d: str) -> DataFrame:
     return quality.run_totals(table(spark, d, "run_stats"))
 
 
+def _name_issues(spark: SparkSession, d: str) -> DataFrame:
+    return quality.placed_issues(glossary.violations(_answered(spark, d), _name_rules(spark, d)), _seg(spark, d))
+
+
+@query
+def names_files(spark: SparkSession, d: str) -> DataFrame:
+    return quality.names_files(_name_issues(spark, d))
+
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    seg, documents = _seg(spark, d), markup.documents_of(_seg(spark, d))
+    warnings = quality.placed_issues(quality.repaired_answers(_pairs(spark, d)).withColumnRenamed("problems", "problem"), seg)
+    repairs = markup.repaired_documents(documents).groupBy("book_id", "kind").agg(F.sum("fixes").alias("fixes"))
+    malformed = markup.document_segments(documents).filter("recovered").select("book_id", F.concat(F.lit("ch"), "doc_no").alias("item")).distinct()
+    validation = epub_problems(spark, d).join(table(spark, d, "books").select("book_id", "path"), "path")
+    return quality.book_reports(table(spark, d, "run_stats"), table(spark, d, "books"), table(spark, d, "run_config"), warnings, _name_rules(spark, d), _name_issues(spark, d), repairs, malformed, validation, checker_diff(spark, d))
+
+
 @query
 def run_reports(spark: SparkSession, d: str) -> DataFrame:
-    return quality.run_reports(table(spark, d, "run_stats"))
+    """The report of each book as JSON."""
+    return quality.report_json(_reports(spark, d))
+
+
+@query
+def report_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The report of each book, its lists as their lengths."""
+    sizes = [F.size(c).alias(c) for c in ("possibly_untranslated", "possibly_incomplete", "inline_tag_warnings", "name_consistency_issues", "validation_problems")]
+    return _reports(spark, d).select("book_id", "output", "model", "target_language", "series", "documents", "segments", "translated_segments", "api_requests_this_run", "glossary_terms", *sizes, F.col("epubcheck.new_errors").alias("new_errors"))
 
 
 @query

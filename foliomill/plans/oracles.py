@@ -277,6 +277,23 @@ a as (select st.*, (select coalesce(max(u.upto), 0) from up u where u.book_id =
 SERIES = f"""{LATEST}, {WORDS}, {BODIES}, r as (select distinct b.series, n.word from books b join nw n on n.book_id = b.book_id and n.uses >= 3 where b.series is not null),
 k as (select distinct b.book_id, r.word from books b join r on r.series = b.series join bo t on t.book_id = b.book_id and contains(t.body, r.word) and {holds("t.body", "r.word")})"""
 
+_V = ORACLES["violations"]
+VIOLATED = _V[len("with ") : _V.rindex("\nselect seg_id, w as source")] + ", vi as (" + _V[_V.rindex("select seg_id, w as source") :] + ")"
+_P = ORACLES["placeholder_check"]
+DAMAGED = _P[_P.index("t as (select seg_id, list_distinct") : _P.rindex("\nselect seg_id, unknown")] + ", dm as (" + _P[_P.rindex("select seg_id, unknown") :] + ")"
+_E = """pd as (select distinct book_id, doc_no from ls where text is not null and text <> ''), pf as (select book_id, count(*) as n from pd group by 1)"""
+
+ORACLES |= {
+    "names_files": f"""with {VIOLATED}, pl as (select s.book_id, concat_ws('#', s.path, s.seg_no) as place, concat_ws(': ', concat_ws('#', s.path, s.seg_no), v.problem) as issue from vi v join segments s on s.seg_id = v.seg_id)
+select book_id, count(*) as issues, count(distinct place) as segments, count(*) || ' glossary rule(s) broken' || chr(10) || chr(10) || string_agg(issue, chr(10) order by issue) || chr(10) as body from pl group by 1""",
+    "report_counts": f"""with {VIOLATED}, {DAMAGED}, {_E}, ck as ({ORACLES["checker_diff"]}),
+rl as (select *, row_number() over (partition by book_id, doc_no order by reported_at desc, run_id desc) as nth from run_stats), tt as (select book_id, max(target_lang) as target_language, count(*) as documents, sum(segments)::bigint as segments, sum(translated)::bigint as translated_segments, sum(coalesce(requests, 0))::bigint as api_requests_this_run, sum(len(unchanged))::int as possibly_untranslated, sum(len(incomplete))::int as possibly_incomplete from rl where nth = 1 group by 1)
+select tt.book_id, regexp_replace(b.path, '[.]epub$', '_translated.epub') as output, r.model, tt.target_language, b.series, tt.documents, tt.segments, tt.translated_segments, tt.api_requests_this_run, tt.possibly_untranslated, tt.possibly_incomplete,
+(select count(*) from nw where nw.book_id = tt.book_id and nw.uses >= 3) as glossary_terms, (select count(*) from dm join ls on ls.seg_id = dm.seg_id where ls.book_id = tt.book_id)::int as inline_tag_warnings, (select count(*) from vi join ls on ls.seg_id = vi.seg_id where ls.book_id = tt.book_id)::int as name_consistency_issues,
+coalesce((select case when n > 1 then n else 0 end from pf where pf.book_id = tt.book_id), 0)::int as validation_problems, (select new_errors from ck where ck.book_id = tt.book_id) as new_errors
+from tt join books b on b.book_id = tt.book_id left join run_config r on r.profile = b.profile""",
+}
+
 ORACLES |= {
     "request_context": f"""{CONTEXTS} select a.book_id, a.doc_no, a.chunk, string_agg(case when b.source is not null then 'SOURCE: ' || case when length(b.source) > {ROOM} then {tail("b.source", ROOM)} else b.source end || chr(10) || 'TRANSLATION: ' || case when length(b.source) > {ROOM} then {tail("b.translation", SHARE)} else b.translation end end, chr(10) order by b.seg_no) as context
 from a left join up b on b.book_id = a.book_id and b.doc_no = a.doc_no and b.seg_no < a.at and a.context_chars > 0 and {ROOM} >= 200 group by 1, 2, 3""",
