@@ -4,7 +4,9 @@ Winnowing over words: a text keeps the smallest hash of ``WORDS_PER_GRAM``
 consecutive words in every window of ``WINDOW`` of them.  Any run of at least
 ``RUN`` = WINDOW + WORDS_PER_GRAM - 1 equal words holds one whole window, in
 which both sides keep the same gram, so the join of the two fingerprint sets
-misses none.  Hits are then extended word by word, which also sorts out
+misses none.  The test hashes travel to the corpus as a bitmap of bounded size,
+so that hashes no test item has are dropped where they are made, whatever the
+number of test items, and only the others are joined.  Hits are then extended word by word, which also sorts out
 hash collisions.
 
 Words are maximal runs of letters and digits after NFKC, lower-casing and
@@ -30,6 +32,8 @@ from foliomill.plans.runtime import materialize, small
 #: Words a leak has at least; words of a gram; grams of a window.
 RUN, WORDS_PER_GRAM = 13, 6
 WINDOW = RUN - WORDS_PER_GRAM + 1
+#: Bits of the bitmap for each test hash, and the most it has in all (16 MB); beyond, more hashes pass, and the join is as exact.
+BITS_EACH, MOST_BITS = 32, 1 << 27
 
 _DROP = np.zeros(0x110000, bool)
 _DROP[INVISIBLE] = True
@@ -70,18 +74,37 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[at], at - first[row[at]], grams[at].astype(np.int64) if len(at) else np.zeros(0, np.int64)
 
 
-def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-        for a, b in chunks([len(t) for t in texts]):
-            row, pos, h = fingerprints(texts[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][row]), pa.array(pos.astype(np.int32)), pa.array(h)], names=["row_id", "pos", "h"])
+def hash_bitmap(prints: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes ``h``: its size follows their number up to MOST_BITS."""
+    bits = min(MOST_BITS, 1 << max(16, (prints.count() * BITS_EACH).bit_length()))
+    place = prints.select(F.pmod("h", F.lit(bits)).alias("place"))
+    words = place.selectExpr("shiftright(place, 6) as w", "shiftleft(1L, cast(place & 63 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h.astype(np.uint64) & np.uint64(len(bitmap) * 64 - 1)
+    return (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def word_fingerprints(texts: DataFrame, key: str, text: str = "text", among: np.ndarray | None = None) -> DataFrame:
+    """(row_id, pos, h) by winnowing; with a bitmap only the hashes that are in it."""
+    bitmap = None if among is None else texts.sparkSession.sparkContext.broadcast(among)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, some = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            for a, b in chunks([len(t) for t in some]):
+                row, pos, h = fingerprints(some[a:b])
+                if bitmap is not None:
+                    keep = in_bitmap(bitmap.value, h)
+                    row, pos, h = row[keep], pos[keep], h[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][row]), pa.array(pos.astype(np.int32)), pa.array(h)], names=["row_id", "pos", "h"])
 
-def word_fingerprints(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(row_id, pos, h) by winnowing."""
     rows = texts.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("row_text")).filter("row_id is not null and row_text is not null")
-    return rows.mapInArrow(_fingerprint_rows, "row_id long, pos int, h long")
+    return rows.mapInArrow(run, "row_id long, pos int, h long")
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +139,7 @@ def leaked_runs(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).filter("item_id is not null and item_text is not null").distinct()
     test = materialize(word_fingerprints(items, "item_id", "item_text").select(F.col("row_id").alias("item_id"), F.col("pos").alias("ipos"), "h"), "test-prints")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("doc_text")).filter("doc_id is not null and doc_text is not null")
-    hits = word_fingerprints(docs, "doc_id", "doc_text").withColumnsRenamed({"row_id": "doc_id", "pos": "dpos"}).join(small(test), "h")
+    hits = word_fingerprints(docs, "doc_id", "doc_text", hash_bitmap(test)).withColumnsRenamed({"row_id": "doc_id", "pos": "dpos"}).join(small(test), "h")
     hits = materialize(hits.select("doc_id", "dpos", "item_id", "ipos").distinct(), "hits")
     # one row a pair; positions of one pair are bounded by the two texts
     pairs = hits.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("dpos", "ipos")).alias("hits"))

@@ -331,6 +331,15 @@ def test_leaks_against_brute_force(spark):
     assert all(docs[r["doc_id"]][r["doc_word"]].lower() == items[r["item_id"]][r["item_word"]] for r in rows)
 
 
+def test_bitmap_holds_its_hashes(spark):
+    h = np.random.default_rng(2).integers(-(1 << 63), 1 << 63 - 1, 5000)
+    prints = spark.createDataFrame([(int(x),) for x in h], "h long")
+    bitmap = leakage.hash_bitmap(prints)
+    assert leakage.in_bitmap(bitmap, h).all()
+    assert leakage.in_bitmap(bitmap, np.random.default_rng(3).integers(-(1 << 63), 1 << 63 - 1, 5000)).mean() < 0.06
+    assert not leakage.in_bitmap(leakage.hash_bitmap(prints.limit(0)), h).any()
+
+
 # --- 8
 
 
