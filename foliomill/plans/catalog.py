@@ -605,7 +605,8 @@ def daily_quota(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def admitted_calls(spark: SparkSession, d: str) -> DataFrame:
-    return limits.admitted(table(spark, d, "events"), 2, 21_600)
+    rows = limits.admitted(table(spark, d, "events"), 2, 21_600)
+    return rows.select("event_id", "user_id", F.unix_micros("start").alias("start_us"), (F.unix_micros("start") - F.unix_micros("ts")).alias("waited_us"))
 
 
 def _streamed(spark: SparkSession, d: str, build, name: str, mode: str) -> DataFrame:

@@ -324,4 +324,8 @@ select b.path, coalesce(upper(b.title), '') as title, 'es' as lang, substring(h,
 select b.path, case when f.doc_no is not null then 'missing from output: ' || d.name else d.name || ': <img> count changed 0 -> 1' end as problem from d join books b on b.book_id = d.book_id join f g on g.book_id = d.book_id and g.n > 1 left join f on f.book_id = d.book_id and f.doc_no = d.doc_no""",
     "relevant_phrases": f"""with {LATEST}, {BODIES}, np as (select book_id, w as source from (select book_id, unnest(regexp_extract_all({tight('text')}, '[a-z],? ([A-Z][a-z]+ [a-z]+)', 1)) as w from segments where text is not null) group by 1, 2 having count(*) >= 2)
 select distinct b.seg_id, n.source from bo b join np n on n.book_id = b.book_id and contains(b.body, n.source) and {holds("b.body", "n.source")}""",
+    "admitted_calls": """with recursive e as (select event_id, user_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as n from events),
+r as (select event_id, user_id, us, n, us as start, null::bigint as before from e where n = 1 union all
+select e.event_id, e.user_id, e.us, e.n, greatest(e.us, r.start, coalesce(r.before + 21600000000, 0)), r.start from r join e on e.user_id = r.user_id and e.n = r.n + 1)
+select event_id, user_id, start as start_us, start - us as waited_us from r""",
 }

@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when it was counted and has at most so many rows.
-BROADCAST_ROWS = 400_000
+#: A side of a join is broadcast only when it was counted and has at most so many rows, in at most so many bytes as written.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,10 +51,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of a written table, or the planner's upper estimate of what is made from tables."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
-    ``df`` should be cheap to count (a materialized table).  Beyond the bound
-    the planner is left with a shuffled join, which gives the same rows.
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``most_bytes`` bytes, else as it is.
+
+    ``df`` should be a materialized table, which is cheap to count and whose
+    size is known.  Beyond a bound the planner is left with a shuffled join,
+    which gives the same rows.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    fits = written_bytes(df) <= most_bytes and df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if fits else df
