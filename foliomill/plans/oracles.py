@@ -328,4 +328,7 @@ select distinct b.seg_id, n.source from bo b join np n on n.book_id = b.book_id
 r as (select event_id, user_id, us, n, us as start, null::bigint as before from e where n = 1 union all
 select e.event_id, e.user_id, e.us, e.n, greatest(e.us, r.start, coalesce(r.before + 21600000000, 0)), r.start from r join e on e.user_id = r.user_id and e.n = r.n + 1)
 select event_id, user_id, start as start_us, start - us as waited_us from r""",
+    "phrase_cases": f"""with {LATEST}, {BODIES}, np as (select book_id, w as source from (select book_id, unnest(regexp_extract_all({tight('text')}, '[a-z],? ([A-Z][a-z]+ [a-z]+)', 1)) as w from segments where text is not null) group by 1, 2 having count(*) >= 2),
+h as (select b.seg_id, n.source, {times("b.body", "replace(n.source, ' ', '  ')")} as k, len(regexp_extract_all(b.body, '(^|[.!?¿¡…:;«»“”"‘()\\[\\]•—–-])[ \\t\\n\\r\\f]{{0,3}}' || n.source || '($|[^\\p{{L}}\\p{{N}}_])')) + len(regexp_extract_all(b.body, '[''’][ \\t\\n\\r\\f]{{1,3}}' || n.source || '($|[^\\p{{L}}\\p{{N}}_])')) as first from bo b join np n on n.book_id = b.book_id and contains(b.body, n.source) and {holds("b.body", "n.source")})
+select seg_id, source, source || ': ''' || source || ''' should be ''' || lower(source) || '''' as problem from h where k > first""",
 }
