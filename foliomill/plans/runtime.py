@@ -53,7 +53,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def written_bytes(df: DataFrame) -> int:
     """Bytes of a written table, or the planner's upper estimate of what is made from tables."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -31,7 +31,7 @@ def test_line_classes(spark):
     s = seg(spark, texts, ["p", "p", "p", "p", "h1", "p", "p"])
     got = {(r["seg_id"], r["line_no"]): r["kind"] for r in cleanup.classified_lines(s, books(spark)).collect()}
     assert got == {(1, 1): "header", (1, 2): None, (2, 1): "header", (2, 2): None, (3, 1): None, (3, 2): "page number", (4, 1): "watermark", (4, 2): None, (5, 1): None, (7, 1): None, (7, 2): None}
-    stripped = {r["seg_id"]: r["body"] for r in cleanup.stripped_text(cleanup.classified_lines(s, books(spark))).collect()}
+    stripped = {r["seg_id"]: r["body"] for r in cleanup.stripped_text(s, cleanup.classified_lines(s, books(spark))).collect()}
     assert stripped == {1: "Story goes on", 2: "and on", 3: "Text here", 4: "x"}
     assert [r["seg_id"] for r in cleanup.footnote_suspects(cleanup.classified_lines(s, books(spark))).collect()] == [7]
 
