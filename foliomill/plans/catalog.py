@@ -338,7 +338,9 @@ def phrase_cases(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def prompt_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return glossary.rule_blocks(glossary.relevant_rules(_bodies(spark, d), _name_rules(spark, d)))
+    """The rules of each text, in the order of their lines, not of their uses."""
+    rules = _name_rules(spark, d).withColumn("ord", F.lit(0))
+    return glossary.rule_blocks(glossary.relevant_rules(_bodies(spark, d), rules))
 
 
 def _answered(spark: SparkSession, d: str) -> DataFrame:
