@@ -42,6 +42,15 @@ def _folding() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _folding()
 
 
+def _capitals() -> tuple[str, str]:
+    """Letters whose upper case is several letters, and the one letter each becomes instead: a title form, ẞ, or itself."""
+    pairs = {c: c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1} | {"ß": "ẞ"}
+    return "".join(pairs), "".join(pairs.values())
+
+
+CAPITAL_FROM, CAPITAL_TO = _capitals()
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """``f(value)`` with the value computed once, however often ``f`` uses it."""
     return F.element_at(F.transform(F.array(value), f), 1)
@@ -52,6 +61,13 @@ def ascii_fold(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.translate(text, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", ""))
 
 
+def capitals(text: Column) -> Column:
+    """Upper case letter by letter: each letter becomes one, ``ß`` becomes ``ẞ`` and not ``SS``."""
+    parts = F.regexp_extract_all(text, F.lit(f"[{CAPITAL_FROM}]|[^{CAPITAL_FROM}]+"), F.lit(0))
+    made = F.transform(parts, lambda p: F.when(F.contains(F.lit(CAPITAL_FROM), p), F.translate(p, CAPITAL_FROM, CAPITAL_TO)).otherwise(F.upper(p)))
+    return F.when(text.rlike(f"[{CAPITAL_FROM}]"), F.array_join(made, "")).otherwise(F.upper(text))
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")
 

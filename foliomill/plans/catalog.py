@@ -689,7 +689,7 @@ def epub_translated(spark: SparkSession, d: str) -> DataFrame:
     answers = _pairs(spark, d).select("book_id", "doc_no", "seg_no", "translation")
     documents = markup.translated_documents(markup.documents_of(_seg(spark, d)), answers, "es")
     files = materialize(_packages(spark, d), "packages")
-    meta = books.select("path", F.lit("es").alias("lang"), T.derived_uid(F.concat(F.lit("book-"), "book_id"), F.lit("es")).alias("uid"), F.upper("title").alias("title"), F.lit(None).cast("map<string,string>").alias("labels"))
+    meta = books.select("path", F.lit("es").alias("lang"), T.derived_uid(F.concat(F.lit("book-"), "book_id"), F.lit("es")).alias("uid"), T.capitals(F.col("title")).alias("title"), F.lit(None).cast("map<string,string>").alias("labels"))
     made = epub.rewritten_packages(files, _at(documents, books), meta)
     return epub.packages(made).select("path", "title", "lang", "identifier", F.size("spine").alias("documents"))
 

@@ -33,3 +33,28 @@ def test_prompt_blocks_are_in_order_of_their_lines(spark, tmp_path):
     got, want = both(spark, tmp_path, "prompt_blocks", segments=segments("so Zora and Anna and Mila", "so Zora and Mila", "so Anna and Zora and Mila", "so Zora and Anna and Mila", "so Zora"))
     assert got == want
     assert ("Anna = Anna\nMila = Mila\nZora = Zora", 2) in got and ("Zora = Zora", 4) in got
+
+
+def test_translated_titles_are_capitals_letter_by_letter(spark, tmp_path):
+    """A letter whose capital form is several letters stays one letter: no SS, FI or ʼN."""
+    titles = ["Straße und Fuß", "eﬃcient ﬁre", "ŉ ǰ և", "ᾳ ᾼ ὐ ῷ", "plain é 𐐨", None]
+    books = "book_id long, path string, version string, title string, author string, lang string, series string, profile string", [(i, f"b{i}.epub", "3.0", t, None, "de", None, "p") for i, t in enumerate(titles)]
+    schema, rows = segments("Ein Satz.")
+    cache = "cache_id long, book_id long, doc_no int, src_sha1 string, target_lang string, translation string, finish_reason string, model string, written_at timestamp", []
+    got, want = both(spark, tmp_path, "epub_translated", books=books, segments=(schema, [(i, i, *rows[0][2:]) for i in range(len(titles))]), segment_cache=cache)
+    assert got == want
+    assert [r[-1] for r in got if r[-2] == "b0.epub"] == ["STRAẞE UND FUẞ"]
+
+
+def test_capitals_of_every_letter(spark):
+    """All letters against DuckDB's upper, but for those newer than its tables, which Spark's have."""
+    from pyspark.sql import functions as F
+
+    from foliomill.functions import text as T
+
+    codes = [i for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    rows = spark.createDataFrame([(i, f"a{chr(i)}\nß") for i in codes], "i int, t string").select("i", T.capitals(F.col("t")), F.upper(F.substring("t", 2, 1))).collect()
+    c = duckdb.connect()
+    want = dict(c.execute("select i, upper('a' || chr(i::int) || chr(10) || 'ß') from (select unnest($l) as i)", {"l": codes}).fetchall())
+    wrong = [(i, made, want[i]) for i, made, spark_upper in rows if made != want[i] and not (want[i][1] == chr(i) and made == f"A{spark_upper}\nẞ" and len(spark_upper) == 1)]
+    assert not wrong
